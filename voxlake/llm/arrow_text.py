@@ -66,18 +66,23 @@ class Words(NamedTuple):
     body: np.ndarray
 
 
-def words(column: pa.Array) -> Words:
+#: 0 separates words; of the others, punctuation differs from what words are made of.
+_KIND = np.array([0 if b <= 32 else 2 if b < 128 and not chr(b).isalnum() else 1 for b in range(256)], np.uint8)
+
+
+def words(column: pa.Array, punctuation: bool = False) -> Words:
+    """The words of each row; with punctuation, runs of ASCII punctuation are words of their own."""
     body, at = raw(column)
     n = len(body)
     if not n:
         empty = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(at), np.int64), empty, empty, empty, body)
-    solid = body > 32
-    opens = np.zeros(n + 1, bool)
-    opens[at] = True
-    start, end = solid.copy(), solid.copy()
-    start[1:] &= ~solid[:-1] | opens[1:n]
-    end[:-1] &= ~solid[1:] | opens[1:n]
+    kind = _KIND[body] if punctuation else (body > 32).view(np.uint8)
+    edge = np.ones(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:n])
+    edge[at] = True
+    solid = kind > 0
+    start, end = solid & edge[:-1], solid & edge[1:]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from voxlake.llm.arrow_text import lists, raw, slices
 
@@ -222,7 +223,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
     made = {"tokens", "n_tokens", "round_trip"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in made]
     rows = docs.select(*[docs[c] for c in names], docs[text_col].cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("tokens", "array<int>").add("n_tokens", "int").add("round_trip", "boolean")
+    schema = rows.drop("__text").schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
@@ -269,7 +270,7 @@ def decode(df: DataFrame, tokens_col: str = "tokens", vocabulary: str = VOCABULA
             texts = [None if x is None else c.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], out_col])
 
-    return rows.mapInArrow(run, rows.drop("__tokens").schema.add(out_col, "string"))
+    return rows.mapInArrow(run, rows.drop("__tokens").schema.add(out_col, T.StringType()))
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

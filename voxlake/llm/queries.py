@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm.bpe import encode_documents
+from voxlake.llm.decontaminate import contaminated
 from voxlake.llm.near_dedup import near_duplicate_groups
+from voxlake.llm.pii import find_private
 from voxlake.llm.quality import importance_resample
 from voxlake.llm.tables import read
 
@@ -24,10 +26,20 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_pii_tagger": op7_pii_tagger,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -373,16 +373,6 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[low:]
 
 
-_taggers: dict[int, Tagger] = {}
-
-
-def _tagger(shared) -> Tagger:
-    if shared.id not in _taggers:
-        _taggers.clear()
-        _taggers[shared.id] = Tagger(shared.value)
-    return _taggers[shared.id]
-
-
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
 
@@ -397,7 +387,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_spans", T.IntegerType()), T.StructField("spans", SPAN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared)
+        tagger = Tagger(shared.value)
         for big in batches:
             for batch in slices(big, "text", 2 << 20):
                 texts = batch.column(1).to_pylist()
@@ -418,7 +408,7 @@ def without_private(docs: DataFrame, text_col: str = "text", size_col: str | Non
     at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared)
+        tagger = Tagger(shared.value)
         for big in batches:
             for batch in slices(big, text_col, 2 << 20):
                 texts = batch.column(at).to_pylist()

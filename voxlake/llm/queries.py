@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm.bpe import encode_documents
 from voxlake.llm.decontaminate import contaminated
+from voxlake.llm.lm_score import lattice_scores
 from voxlake.llm.near_dedup import near_duplicate_groups
 from voxlake.llm.pii import find_private
 from voxlake.llm.quality import importance_resample
@@ -30,6 +31,10 @@ def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_pii_tagger": op7_pii_tagger,
+    "op8_lm_score": op8_lm_score,
     "op10_decontamination": op10_decontamination,
 }
 

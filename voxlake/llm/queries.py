@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm.bpe import encode_documents
 from voxlake.llm.decontaminate import contaminated
+from voxlake.llm.html_template import extract
 from voxlake.llm.lm_score import lattice_scores
+from voxlake.llm.metric_join import range_pairs
 from voxlake.llm.near_dedup import near_duplicate_groups
 from voxlake.llm.pii import find_private
 from voxlake.llm.quality import importance_resample
 from voxlake.llm.tables import read
+from voxlake.llm.warc import derivatives, page_responses
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +26,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(page_responses(read(spark, sf_dir, "pages")), keep="page_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(read(spark, sf_dir, "documents"))
 
@@ -35,6 +46,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_pairs(read(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -42,10 +57,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_html_template": op6_html_template,
     "op7_pii_tagger": op7_pii_tagger,
     "op8_lm_score": op8_lm_score,
+    "op9_embedding_range_join": op9_embedding_range_join,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_embedding_range_join": """
+        SELECT DISTINCT a.vec_id AS id_a, b.vec_id AS id_b
+        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+        WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95
+    """,
+}

@@ -14,10 +14,15 @@ from voxlake.llm.metric_join import range_pairs
 from voxlake.llm.near_dedup import near_duplicate_groups
 from voxlake.llm.pii import find_private
 from voxlake.llm.quality import importance_resample
+from voxlake.llm.substring_dedup import repeated_passages
 from voxlake.llm.tables import read
 from voxlake.llm.warc import derivatives, page_responses
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_warc_derivatives": op4_warc_derivatives,

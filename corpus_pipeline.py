@@ -1,4 +1,10 @@
-"""Corpus preparation: stages over the documents table, each with one operator's decisions applied."""
+"""Corpus preparation: stages over the documents table, each with one operator's decisions applied.
+
+Every stage takes all that its predecessor kept. Rows with a null doc_id can be in no near-duplicate
+group and are otherwise treated like others; null texts pass every stage but the last, where their
+tokens are null; columns beside those of documents are carried along, whatever their names, as
+long as they aren't those that the last stage adds (tokens, n_tokens, round_trip), which it replaces.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +13,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxlake.llm.bpe import encode
+from voxlake.llm.decontaminate import clean_documents
 from voxlake.llm.near_dedup import near_duplicate_groups
+from voxlake.llm.pii import without_private
+from voxlake.llm.quality import keep_selected
 from voxlake.llm.tables import drop_keys, read
 from voxlake.operators.components import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects stay."""
+    return keep_selected(docs, read(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least id."""
+    """One document of each near-duplicate group stays, the one with the least id; one row of each id."""
     gone = cut(near_duplicate_groups(docs).where("not is_kept").select("doc_id"))
     unique = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"])) if repeated(docs) else docs
     return drop_keys(unique, gone, "doc_id", gone.count())
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    return clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, with [KIND] for each personal detail in the text."""
+    return without_private(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their tokens and whether these decode to the text again."""
+    return encode(docs)
+
+
 def repeated(docs: DataFrame) -> bool:
     """Whether a doc_id is in more than one row."""
     return not docs.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
 
 
-STAGES: list[tuple[str, Stage]] = [("minhash_near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("pii", private),
+    ("byte_bpe", tokens),
+]
 
 #: Not all of the stages can be expressed in SQL.
 ORACLE_SQL = None

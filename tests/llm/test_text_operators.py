@@ -1,0 +1,525 @@
+"""Each operator against a brute-force version, and on nulls, empty, long, tied and repeated rows."""
+
+import collections
+import itertools
+import math
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from voxlake.llm import bpe, decontaminate, html, html_template, lm_score, metric_join, near_dedup, pii, quality, substring_dedup, warc
+from voxlake.llm.arrow_text import grams, words
+
+DOC = "doc_id long, text string, source string, id long, bands string"
+rng = np.random.default_rng(4)
+
+
+def prose(n, vocabulary=400, seed=0):
+    r = np.random.default_rng(seed)
+    return " ".join(f"w{r.integers(vocabulary)}" for _ in range(n))
+
+
+def docs(spark, rows):
+    """Rows of (doc_id, text) with extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, None, 7, "x") for i, t in rows], DOC)
+
+
+ODD = [(None, "null id text"), (100, None), (101, ""), (102, " \n\t "), (103, "x" * 30000), (104, "é漢🎉 ½ word"), (105, "same row"), (105, "same row")]
+
+
+# --- shared ---------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é.\n", max_size=20)), max_size=8))
+def test_words_depend_on_bytes_alone(texts):
+    w = words(pa.array(texts, pa.string()))
+    want = [x for t in texts for x in re.split(r"[\x00-\x20]+", t or "") if x]
+    assert [w.body[a:b].tobytes().decode() for a, b in zip(w.start, w.end)] == want
+    by = {}
+    for h, x in zip(w.hashes.tolist(), want):
+        assert by.setdefault(h, x) == x
+    assert len(by) == len(set(want))
+    two, where = grams(w, 2)
+    assert all(w.row[i] == w.row[i + 1] for i in where) and len(two) == sum(max(0, len(re.findall(r"[^\x00-\x20]+", t or "")) - 1) for t in texts)
+
+
+# --- 1 substring dedup ----------------------------------------------------------------------
+
+
+def brute_passages(rows, length):
+    places, sizes = collections.defaultdict(set), {}
+    for d, t in rows:
+        w = [x for x in re.split(r"[\x00-\x20]+", t or "") if x]
+        for i in range(len(w) - length + 1):
+            places[tuple(w[i : i + length])].add((d, i))
+    covered = collections.defaultdict(set)
+    for found in places.values():
+        if len(found) > 1:
+            for d, i in found:
+                covered[d].update(range(i, i + length))
+    out = set()
+    for d, c in covered.items():
+        for _, run in itertools.groupby(enumerate(sorted(c)), lambda x: x[1] - x[0]):
+            run = [x for _, x in run]
+            out.add((d, run[0], len(run)))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"group": 50, "most": 3}])
+def test_passages_equal_brute_force(spark, limits):
+    shared, other = prose(60, seed=1), prose(75, seed=2)
+    rows = [(i, prose(40, seed=10 + i)) for i in range(6)]
+    rows += [(10, f"{prose(9, seed=3)} {shared} {prose(20, seed=4)}"), (11, f"{shared} {prose(30, seed=5)} {other}"), (12, other), (13, other), (14, "la " * 130), (15, prose(49, seed=1)), (16, prose(90, 3, seed=6))]
+    for length, prefix in ((50, 25), (12, 6)):
+        got = {tuple(r) for r in substring_dedup.repeated_passages(docs(spark, rows), length=length, prefix=prefix, **limits).collect()}
+        assert got == brute_passages(rows, length)
+        assert length < 50 or {r[0] for r in got} == {10, 11, 12, 13, 14}
+
+
+def test_passages_of_odd_rows(spark):
+    rows = [*ODD, (200, prose(80, seed=1)), (200, prose(80, seed=1)), (None, prose(80, seed=1)), (201, None)]
+    assert substring_dedup.repeated_passages(docs(spark, rows)).collect() == []
+    assert substring_dedup.repeated_passages(docs(spark, [])).collect() == []
+
+
+# --- 2 quality ------------------------------------------------------------------------------
+
+
+def corpus(n=400):
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 5 == 0
+        t = prose(60, 50, seed=i)
+        rows.append((i, t + (" junk buy now" * 6 if bad else "")))
+        if i % 2 == 0:
+            labels.append((i, int(not bad), 0))
+    return rows, labels
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_weights_equal_a_plain_sum(spark):
+    rows, labels = corpus()
+    ratio, share = quality.fit(docs(spark, rows), spark.createDataFrame(labels, LABELS))
+    assert share == pytest.approx(0.8)
+    good = {i for i, q, t in labels if q == 1 and t == 0}
+
+    def features(text):
+        row, ids, n = quality.features(pa.array([text]))
+        return dict(zip(ids.tolist(), n.tolist()))
+
+    each = {i: features(t) for i, t in rows}
+    raw, target = (collections.Counter(b for i in chosen for b in each[i]) for chosen in (set(each), good))
+    for i, _ in rows[:20]:
+        total = 0.0
+        for half in (0, 1):
+            own = [b for b in range(half * quality.BUCKETS // 2, (half + 1) * quality.BUCKETS // 2) if raw[b]]
+            by_ratio = sorted(own, key=lambda b: target[b] / raw[b])
+            mass, scale = 0, 0.0
+            for b in by_ratio:
+                mass += target[b]
+                if mass >= sum(target[x] for x in own) / 2:
+                    scale = target[b] / raw[b]
+                    break
+            for b in own:
+                e = raw[b] * scale
+                x = math.log((target[b] + quality.PRIOR) / (e + quality.PRIOR))
+                if b in each[i] and abs(x) >= quality.EFFECT and abs(target[b] - e) >= quality.SIGMAS * math.sqrt(e + 1):
+                    total += min(each[i][b], quality.MOST) * x
+        assert quality.weights(pa.array([rows[i][1]]), ratio)[0] == pytest.approx(total)
+
+
+def test_resampling_rejects_junk_and_keeps_k(spark):
+    rows, labels = corpus()
+    got = quality.importance_resample(docs(spark, rows), spark.createDataFrame(labels, LABELS)).toPandas()
+    bad = got.doc_id % 5 == 0
+    assert got.is_selected.sum() == 320 and got[bad].is_selected.mean() < 0.05
+    order = got.sort_values("key", ascending=False)
+    assert order.is_selected.iloc[:320].all()
+    kept = quality.keep_selected(docs(spark, rows), spark.createDataFrame(labels, LABELS))
+    assert kept.columns == docs(spark, rows).columns
+    assert {r.doc_id for r in kept.collect()} == set(got[got.is_selected].doc_id)
+
+
+def test_resampling_of_odd_rows(spark):
+    labels = spark.createDataFrame([(None, 1, 0), (100, None, 0), (105, 1, 0), (105, 1, 0), (104, 0, 1)], LABELS)
+    got = quality.importance_resample(docs(spark, ODD), labels).collect()
+    assert len(got) == len(ODD) and all(math.isfinite(r.key) for r in got)
+    assert len({r.key for r in got if r.doc_id == 105}) == 1
+    assert quality.importance_resample(docs(spark, []), labels).collect() == []
+    none = quality.importance_resample(docs(spark, ODD), labels.where("false")).collect()
+    assert all(r.is_selected and r.log_weight == 0 for r in none)
+
+
+def test_kth_largest(spark):
+    values = np.round(np.random.default_rng(1).normal(size=3000), 2).tolist() + [7.0] * 50
+    keys = spark.createDataFrame([(v,) for v in values], "key double")
+    for k in (1, 50, 51, 700, 3050, 9999):
+        assert quality.kth_largest(keys, k, small=10) == sorted(values, reverse=True)[min(k, len(values)) - 1]
+
+
+# --- 3 near dedup ---------------------------------------------------------------------------
+
+
+def test_near_duplicates_against_exact_jaccard(spark):
+    rows = []
+    for g in range(12):
+        base = prose(120, 4000, seed=g).split()
+        for c in range(4):
+            own = list(base)
+            for k in np.random.default_rng(100 * g + c).choice(120, 2 * c, replace=False):
+                own[k] = f"v{g}_{c}_{k}"
+            rows.append((g * 10 + c, " ".join(own)))
+    rows += [(900 + k, prose(100, 4000, seed=300 + k)) for k in range(30)]
+    sets = {i: {tuple(w[k : k + 3]) for w in [t.split()] for k in range(len(w) - 2)} for i, t in rows}
+    group = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(docs(spark, rows)).collect()}
+    found = wanted = 0
+    for a, b in itertools.combinations(sets, 2):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        same = a in group and group[a] == group.get(b)
+        if j >= 0.55:
+            wanted, found = wanted + 1, found + same
+        assert not (same and a // 10 != b // 10) and (j >= 0.05 or not same)
+    assert wanted > 40 and found / wanted >= 0.9
+    assert all(g % 10 == 0 for g in group.values())
+
+
+def test_odd_sketch_estimates():
+    for j in (0.95, 0.8, 0.5):
+        error = []
+        for seed in range(25):
+            r = np.random.default_rng(seed)
+            values = r.integers(0, 1 << 32, (2, near_dedup.PERMUTATIONS), dtype=np.uint32)
+            values[1, : int(j * near_dedup.PERMUTATIONS)] = values[0, : int(j * near_dedup.PERMUTATIONS)]
+            a, b = near_dedup.odd_sketch(values)
+            error.append(near_dedup.similarity(int(np.bitwise_count(a ^ b).sum())) - j)
+        assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.04
+
+
+def test_links_follow_chains():
+    a = np.zeros((5, 8), np.uint64)
+    a[1, 0], a[2, 0], a[3], a[4] = 1, 3, ~np.uint64(0), ~np.uint64(0)
+    assert sorted(near_dedup.links(a, 1)) == [(0, 1), (0, 2), (3, 4)]
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = [*ODD, (106, "Same  ROW"), (107, "same"), (108, "same"), (109, None), (110, "")] + [(300 + k, "many copies of one text") for k in range(300)]
+    got = {r.doc_id: (r.group_id, r.is_kept) for r in near_dedup.near_duplicate_groups(docs(spark, rows)).collect()}
+    assert got == {105: (105, True), 106: (105, False), 107: (107, True), 108: (107, False)} | {300 + k: (300, k == 0) for k in range(300)}
+    assert near_dedup.near_duplicate_groups(docs(spark, [])).collect() == []
+
+
+# --- 4 WARC, 6 HTML ---------------------------------------------------------------------------
+
+PAGE = "<html><head><title>T &amp; t</title><style>p{}</style><script>var t='</p>';</script></head><body><p>One <b>two</b><br>three<p title='a>b'>four<!-- no --></body></html>"
+
+
+def test_plain_text():
+    assert html.plain_text(PAGE) == "T & t\nOne two\nthree\nfour" and html.title(PAGE) == "T & t"
+    assert html.plain_text("") == "" and html.plain_text("a < b & c") == "a < b & c"
+    assert html.plain_text("<p" * 50000).count("<p") == 50000
+
+
+def test_warc_records_are_linked(spark):
+    rows = [("<urn:uuid:1>", "http://a.example/", "2024-05-06T07:08:09Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: b: c", PAGE, 1), (None, None, None, None, None, 2), ("<urn:uuid:1>", "u\r\nX: y", "", "", "", 3)]
+    frame = spark.createDataFrame(rows, "record_id string, target_uri string, date string, http_headers string, payload string, n long").withColumn("block", F.lit(1)).withColumn("headers", F.lit(None))
+    got = warc.derivatives(frame, keep="n").collect()
+    assert len(got) == 6 and warc.derivatives(frame.where("false")).collect() == []
+    for meta, text in zip(got[::2], got[1::2]):
+        assert (meta.warc_type, text.warc_type) == ("metadata", "conversion")
+        assert meta.refers_to == text.refers_to and meta.concurrent_to == text.record_id and text.concurrent_to == meta.record_id
+        for r in (meta, text):
+            head, body = warc.serialised(r.asDict()).split(b"\r\n\r\n", 1)
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            assert int(fields["Content-Length"]) == len(body) - 4 and fields["WARC-Block-Digest"] == warc.digest(body[:-4]) == r.block_digest
+            assert fields["WARC-Refers-To"] == r.refers_to
+    assert "source-record-id: <urn:uuid:1>\r\n" in got[0][10] and "http-header-x-a: b: c\r\n" in got[0][10] and f"source-payload-digest: {warc.digest(PAGE.encode())}" in got[0][10]
+    assert got[1][10] == html.plain_text(PAGE)
+    with pytest.raises(ValueError):
+        warc.derivatives(frame, keep="block")
+
+
+def brute_template(pages):
+    """Valid template tokens of one host by explicit occurrence vectors."""
+    seqs = [list(html_template.page_tokens(p)) for p in pages]
+    tokens = {t for s in seqs for t, _, _ in s}
+    vector = {t: tuple(sum(x == t for x, _, _ in s) for s in seqs) for t in tokens}
+    frequent = {t: v for t, v in vector.items() if sum(n > 0 for n in v) >= max(html_template.MIN_PAGES, html_template.MIN_SHARE * len(pages))}
+    place = {t: np.mean([next(k for k, x in enumerate(s) if x[0] == t) for s in seqs if any(x[0] == t for x in s)]) for t in frequent}
+    groups = collections.defaultdict(list)
+    for t in sorted(frequent, key=lambda t: (place[t], t)):
+        groups[frequent[t]].append(t)
+    info = {t: (v, k, len(g)) for v, g in groups.items() for k, t in enumerate(g)}
+    bad = set().union(*(html_template.crossing([info[t] for t, _, _ in s if t in info]) for s in seqs))
+    return {t for t in info if info[t][0] not in bad}
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_template_equals_explicit_vectors(spark, limit, monkeypatch):
+    monkeypatch.setattr(html_template, "BROADCAST_ROWS", limit)
+    pages = []
+    for k in range(12):
+        items = "".join(f"<li>Item</li><li>{prose(2, seed=k)}</li>" for _ in range(k % 3 + 1))
+        note = "<div>Note</div>" if k % 2 else ""
+        swap = "" if k % 3 else "<i>a</i><u>b</u>" if k % 2 else "<u>b</u><i>a</i>"
+        pages.append(f"<html><body><nav>Home</nav>{note}<h1>{prose(3, seed=50 + k)}</h1><ul>{items}</ul>{swap}<footer>&copy; all</footer></body></html>")
+    rows = [(k, "https://h.example/x", p, 1) for k, p in enumerate(pages)] + [(50, None, PAGE, 1), (51, "http://lone.example", PAGE, 1), (52, "https://h.example:80/", None, 1), (53, "", "", 1)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host long")
+    got = {r.page_id: r for r in html_template.extract(frame).collect()}
+    assert len(got) == len(rows)
+    valid = brute_template([*pages, ""])
+    for k, p in enumerate(pages):
+        assert [(s.path, s.text) for s in got[k].slots] == [(a, t) for x, a, t in html_template.page_tokens(p) if t and x not in valid]
+        assert "Home" not in got[k].text and prose(3, seed=50 + k) in got[k].text and "all" not in got[k].text
+    assert got[50].text == got[51].text == "One\ntwo\nthree\nfour" and got[52].slots == got[53].slots == []
+    assert html_template.extract(frame.where("false")).collect() == []
+
+
+# --- 5 BPE ----------------------------------------------------------------------------------
+
+
+def brute_bpe(ranks, token):
+    parts = [bytes([b]) for b in token]
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda k: (ranks.get(parts[k] + parts[k + 1], 1 << 60), k))
+        if parts[best] + parts[best + 1] not in ranks:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return [ranks[p] for p in parts]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(bpe.VOCABULARY, "rb") as f:
+        return bpe.codec(f.read())
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(max_size=90), st.sampled_from(["", "a" * 200, "the then there " * 9, "  \n\n  "]))
+def test_merges_equal_brute_force(text, more):
+    with open(bpe.VOCABULARY, "rb") as f:
+        c = bpe.codec(f.read())
+    text = (text + more).encode("utf-8", "replace").decode()
+    ids = np.frombuffer(c.encode([text])[0], np.int32)
+    assert ids.tolist() == [i for t in c.split(text) for i in brute_bpe(c.ranks, t.encode())]
+    assert c.decode(ids).tobytes() == text.encode()
+
+
+def test_bpe_equals_a_public_library(codec):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    for text in ("", "I'll say we've 123 ½² 漢字 🎉", prose(300), " " * 300 + "x", "ab" * 4000, "é" * 70, "<|endoftext|>"):
+        assert np.frombuffer(codec.encode([text])[0], np.int32).tolist() == own.encode_ordinary(text)
+
+
+def test_bpe_round_trip_of_odd_rows(spark):
+    rows = docs(spark, ODD)
+    got = bpe.encode(rows.withColumnRenamed("bands", "tokens"))
+    assert got.columns == ["doc_id", "text", "source", "id", "tokens", "n_tokens", "round_trip"]
+    back = bpe.decode(got.withColumnRenamed("text", "was")).collect()
+    assert len(back) == len(ODD) and all(r.text == r.was for r in back)
+    assert all(r.round_trip and r.n_tokens == len(r.tokens) if r.was is not None else r.tokens is None and r.round_trip is None for r in back)
+    assert bpe.encode_documents(docs(spark, [])).collect() == []
+
+
+# --- 7 PII ------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    return pii.Tagger(pii.train())
+
+
+def test_held_out_accuracy(tagger):
+    r, hit, wrong, missed = np.random.default_rng(77), 0, 0, 0
+    for _ in range(300):
+        text, kinds = pii.sample(r)
+        want = set()
+        for kind, run in itertools.groupby(range(len(kinds)), lambda k: kinds[k]):
+            run = list(run)
+            if kind:
+                want.add((run[0], run[-1] + 1, int(kind)))
+        got = set(tagger.texts([text])[0])
+        hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.9
+
+
+def test_decoding_equals_all_paths(tagger):
+    r = np.random.default_rng(0)
+    for move in (tagger.move, r.normal(0, 1, (6, 6)).astype(np.float32)):
+        own = pii.Tagger(pii.train()._replace(move=move))
+        for spread in (0.3, 1, 4):
+            e = r.normal(0, spread, (5, 6, 8)).astype(np.float32)
+            e[:, 0] += spread
+            sizes = np.array([5, 5, 5, 4, 3, 2, 1, 1])
+            found = np.zeros((8, 5), np.uint8)
+            busy = own.busy(e, sizes)
+            found[busy] = own.viterbi(e[:, :, busy], sizes[busy])
+            for k, n in enumerate(sizes):
+                score = lambda p: sum(e[i, p[i], k] for i in range(n)) + sum(own.move[p[i], p[i + 1]] for i in range(n - 1))  # noqa: B023, E731
+                assert score(found[k, :n]) == pytest.approx(max(map(score, itertools.product(range(6), repeat=n))), abs=1e-4)
+
+
+def test_gradients():
+    r = np.random.default_rng(1)
+    e, move, y = r.normal(size=(4, 2, 6)), r.normal(size=(6, 6)), r.integers(0, 6, (4, 2))
+    loss, de, dm = pii.crf_loss(e, move, y)
+    for where in ((0, 0, 1), (2, 1, 3), (3, 0, 5)):
+        step = np.zeros_like(e)
+        step[where] = 1e-5
+        assert (pii.crf_loss(e + step, move, y)[0] - loss) / 1e-5 == pytest.approx(de[where], abs=1e-3)
+    step = np.zeros_like(move)
+    step[0, 2] = 1e-5
+    assert (pii.crf_loss(e, move + step, y)[0] - loss) / 1e-5 == pytest.approx(dm[0, 2], abs=1e-3)
+
+
+def test_windows_and_odd_rows(spark, tagger):
+    mail, card = "jo.hn.19@mail5.example.com", "4785380592391139"
+    filler = prose(900, 30, seed=3).replace("w", "the ")
+    texts = [f"{filler[:cut]} {mail} and {card} {filler}" for cut in (0, 900, 940, 960, 1000, 2500)]
+    for text, spans in zip(texts, tagger.texts(texts)):
+        assert {text[a:b] for a, b, _ in spans} >= {mail, card}
+        assert mail not in pii.redact(text, spans)
+    alone = [tagger.texts([t])[0] for t in texts]
+    assert alone == tagger.texts(texts)
+    rows = docs(spark, [*ODD, (300, f"write to {mail} now"), (301, f"write to {mail} now")])
+    got = pii.find_private(rows).collect()
+    assert len(got) == len(ODD) + 2 and sum("[EMAIL]" in (r.text or "") for r in got) == 2
+    assert next(r for r in got if r.doc_id == 100).text is None and all(r.n_spans == len(r.spans) for r in got)
+    clean = pii.without_private(rows)
+    assert clean.schema == rows.schema and clean.count() == rows.count()
+    assert pii.find_private(docs(spark, [])).collect() == []
+
+
+# --- 8 LM scoring -----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return lm_score.load()
+
+
+def brute_marginal(v, log_p, text):
+    at = np.concatenate([[0], np.cumsum(v.size)])
+    pieces = {"".join(map(chr, v.body[at[i] : at[i + 1]].tolist())): i for i in range(len(v.size)) if v.size[i]}
+    s = "▁" + text.replace(" ", "▁")
+
+    def paths(k):
+        if k == len(s):
+            return [0.0]
+        out = []
+        for n in range(1, min(16, len(s) - k) + 1):
+            p = s[k : k + n]
+            price = log_p[pieces[p]] if p in pieces else sum(log_p[v.bytes_[b]] for b in p.encode()) if n == 1 else None
+            if price is not None:
+                out += [price + x for x in paths(k + n)]
+        return out
+
+    return float(np.logaddexp.reduce(paths(0)))
+
+
+def test_marginals_equal_all_segmentations(vocabulary):
+    scorer = lm_score.Scorer(vocabulary, vocabulary.first)
+    for text in ("", "a", "the cat", "  two\n\nx", "naïve 漢🎉", "there in", "\n"):
+        for _ in range(2):
+            assert scorer.score([text, "the"])[0] == pytest.approx(brute_marginal(vocabulary, vocabulary.first, text), rel=1e-5)
+
+
+def test_expected_counts_are_derivatives(vocabulary):
+    text = "the naïve 漢 that"
+    u = lm_score.units([text, text])
+    order, body, size = lm_score.pack(u, np.arange(len(u.size)))
+    got = lm_score.Lattice(vocabulary).expected(body, size, np.ones(len(size)))
+    base = lm_score.Scorer(vocabulary, vocabulary.first).score([text])[0]
+    for piece in np.argsort(-got)[:6]:
+        moved = vocabulary.first.copy()
+        moved[piece] += 1e-2
+        assert 2 * (lm_score.Scorer(vocabulary, moved).score([text])[0] - base) / 1e-2 == pytest.approx(got[piece], rel=0.05, abs=0.02)
+
+
+def test_scores_of_odd_rows(spark, vocabulary):
+    rows = [*ODD, (300, prose(50)), (301, prose(50))]
+    got = {r.doc_id: r for r in lm_score.lattice_scores(docs(spark, rows)).collect()}
+    assert got[100].log_prob is None and got[101].bits_per_byte is None and got[101].log_prob < 0
+    assert got[300].log_prob == pytest.approx(got[301].log_prob)
+    assert all(r.log_prob < 0 for r in got.values() if r.log_prob is not None)
+    counts = lm_score.expected_counts(docs(spark, rows).select("text"), vocabulary)
+    assert got[300].log_prob == pytest.approx(lm_score.Scorer(vocabulary, lm_score.corpus_log_p(vocabulary, counts)).score([prose(50)])[0], rel=1e-6)
+    assert lm_score.lattice_scores(docs(spark, [])).collect() == []
+
+
+# --- 9 embeddings -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("share,pivots,least", [(4096, None, 0.9), (15, 9, 0.9), (7, 30, 0.99), (50, 5, -1.0)])
+def test_range_pairs_equal_brute_force(spark, share, pivots, least):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(20, 6))
+    x = np.concatenate([base[k % 20] + r.normal(0, 0.12, 6) for k in range(120)]).reshape(-1, 6)
+    x[5] = x[6] = x[7]
+    x *= r.uniform(0.1, 9, (120, 1))
+    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)]
+    rows += [(None, x[0].tolist(), "e"), (500, None, "e"), (501, [], "e"), (502, [0.0] * 6, "e"), (503, [1.0, None, 0.0, 0.0, 0.0, 0.0], "e"), (504, [float("nan")] * 6, "e"), (505, [1.0, 2.0], "e"), (506, [2.0, 4.0], "e"), (7, x[7].tolist(), "e")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string")
+    got = [tuple(p) for p in metric_join.range_pairs(frame, min_cosine=least, share=share, pivots=pivots).collect()]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if u[a] @ u[b] >= least} | {(505, 506)}
+    assert set(got) == want and len(got) == len(want)
+    assert metric_join.range_pairs(frame.where("false")).collect() == []
+
+
+# --- 10 decontamination -------------------------------------------------------------------------
+
+
+def brute_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc", min_size=1, max_size=70), st.text("abc", max_size=90))
+def test_myers_equals_dynamic_programming(item, text):
+    assert decontaminate.myers(item, text) == brute_distance(item, text)
+
+
+def test_matches_equal_brute_force(spark):
+    items = [(k, prose(30, 60, seed=k)) for k in range(8)] + [(50, "Short one"), (51, None), (52, " "), (None, "x y"), (53, prose(30, 60, seed=0)), (54, "a")]
+    rows = []
+    r = np.random.default_rng(8)
+    for k in range(60):
+        text = list(prose(30, 60, seed=int(r.integers(12))))
+        for _ in range(int(r.integers(0, 9))):
+            at = int(r.integers(len(text)))
+            text[at] = str(r.choice(["", "z", text[at] + "q"]))
+        rows.append((k, prose(10, 60, seed=90 + k) + "  \n" + "".join(text).upper() + " " + prose(5, 60, seed=k)))
+    rows += [*ODD, (200, None), (300, "a SHORT\n one here"), (300, "nothing")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    want = {}
+    for d, t in rows:
+        for i, item in items:
+            if i is not None and t is not None and (norm := decontaminate.normal(item or "")):
+                k = decontaminate.budget(norm)
+                n = brute_distance(norm, decontaminate.normal(t)) if len(t) < 9000 else 0 if norm in decontaminate.normal(t) else k + 1
+                if n <= k:
+                    want[d, i] = min(n, want.get((d, i), n))
+    assert got == {(d, i, n) for (d, i), n in want.items()} and any(n > 0 for _, _, n in got)
+    clean = decontaminate.clean_documents(docs(spark, rows), bench)
+    assert clean.columns == docs(spark, rows).columns
+    matcher = decontaminate.Matcher([x for x in items if x[0] is not None and x[1]])
+    dirty = {t for _, t in rows if t is not None and matcher.matches(t)}
+    assert sorted(map(str, (x.text for x in clean.collect()))) == sorted(str(t) for _, t in rows if t not in dirty)
+    assert decontaminate.contaminated(docs(spark, []), bench).collect() == [] and decontaminate.contaminated(docs(spark, rows), bench.where("false")).collect() == []

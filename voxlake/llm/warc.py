@@ -73,8 +73,11 @@ def derivatives(responses: DataFrame, keep: str | None = None) -> DataFrame:
 
     responses has record_id, target_uri, date, http_headers and payload, as strings. A null record_id is
     named after the URI and payload; other nulls count as empty, a null date as 1970. Empty and very long
-    payloads are converted like others; repeated rows give repeated records. Other columns are ignored.
+    payloads are converted like others; repeated rows give repeated records. Other columns are ignored. A
+    keep that has the name of one of COLUMNS is an error.
     """
+    if keep in COLUMNS:
+        raise ValueError(f"{keep} is a column of the records")
     first = [F.col(keep).alias("__keep")] if keep else []
     rows = responses.select(*first, *[F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "date", "http_headers", "payload")])
     lead = f"`{keep}` {rows.schema['__keep'].dataType.simpleString()}, " if keep else ""

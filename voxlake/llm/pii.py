@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from voxlake.llm.arrow_text import slices
 
 KINDS = ("", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
-HIDDEN, WINDOW, OVERLAP, SYMBOLS = 8, 1024, 128, 128
-ROWS = 512
+HIDDEN, WINDOW, OVERLAP, SYMBOLS = 8, 1024, 96, 128
+ROWS = 1024
 
 
 class Weights(NamedTuple):
@@ -253,11 +253,25 @@ class Tagger:
         half = np.ones((4 * h, 1), np.float32)
         half[: 3 * h] = 0.5  # a sigmoid is a tanh of half the sum
         self.h = h
-        self.sides = [(np.ascontiguousarray(a.T * half), np.ascontiguousarray(u.T * half)) for a, u in ((w.wf, w.uf), (w.wb, w.ub))]
-        self.out, self.bias, self.move = np.ascontiguousarray(w.out.T), w.bias[:, None], w.move
-        others = w.move - w.move[0, 0]
-        others[0, 0] = 0
-        self.bound = 2 * max(0.0, float(others.max()))
+        # what is kept of a state is twice the state, as its sigmoid is half of one plus a tanh
+        self.sides = [(np.ascontiguousarray(a.T * half), np.ascontiguousarray(u.T * half * 0.5)) for a, u in ((w.wf, w.uf), (w.wb, w.ub))]
+        self.out, self.bias, self.move = np.ascontiguousarray(w.out.T) * np.float32(0.5), w.bias[:, None], w.move
+        # a step from a to b costs what half a stay in either is worth, and rest[a, b]
+        stay = np.diag(w.move) - w.move[0, 0]
+        rest = w.move - w.move[0, 0] - 0.5 * (stay[:, None] + stay)
+        other = rest[~np.eye(len(stay), dtype=bool)]
+        self.worth = np.maximum(stay, 0.5 * stay)[1:, None] + 2 * max(0.0, float(other.max()))
+        self.toll = max(0.0, float(min(-rest[0, 1:].max(), -rest[1:, 0].max())))
+
+    def busy(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which windows may have a tag: in the others, being outside throughout is the best path.
+
+        A run of tags gains at most the sum of the best leads over outside; unless it fills the window, it
+        also pays to enter or to leave.
+        """
+        lead = (e[:, 1:] + self.worth).max(axis=1) - e[:, 0]
+        lead[np.arange(len(e))[:, None] >= sizes] = 0
+        return np.flatnonzero((np.maximum(lead, 0).sum(axis=0) > self.toll) | (lead.sum(axis=0) > 0))
 
     def hidden(self, x: np.ndarray, live: np.ndarray, side: int) -> np.ndarray:
         """[steps, h, rows] of symbols x [steps, rows]; at step t the first live[t] rows are text."""
@@ -277,11 +291,11 @@ class Tagger:
             s += np.take(w, x[t, :n], axis=1)
             np.tanh(s, out=zz)
             gates = zz[: 3 * h]
-            gates *= 0.5
-            gates += 0.5
+            gates += 1
             cc *= zz[h : 2 * h]
             zz[:h] *= zz[3 * h :]
             cc += zz[:h]
+            cc *= 0.5
             np.tanh(cc, out=now)
             now *= zz[2 * h : 3 * h]
             prior = hs[t]
@@ -296,29 +310,33 @@ class Tagger:
         e += np.matmul(self.out[:, self.h :], both[1])
         e += self.bias
         found = np.zeros((rows, steps), np.uint8)
-        lead = e[:, 1:].max(axis=1) - e[:, 0]
-        lead[np.arange(steps)[:, None] >= sizes] = -1e9
-        busy = np.flatnonzero((lead > -self.bound).any(axis=0))
+        busy = self.busy(e, sizes)
         if len(busy):
-            found[busy] = self.viterbi(e[:, :, busy].transpose(0, 2, 1), sizes[busy])
+            found[busy] = self.viterbi(e[:, :, busy], sizes[busy])
         return found
 
     def viterbi(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The best tags [rows, steps] of emissions [steps, rows, kinds]."""
-        steps, rows, k = e.shape
-        came = np.zeros((steps, rows, k), np.uint8)
+        """The best tags [rows, steps] of emissions [steps, kinds, rows]; sizes descend."""
+        steps, k, rows = e.shape
+        came = np.zeros((steps, k, rows), np.uint8)
+        live = np.searchsorted(-sizes, -np.arange(steps), "left")
         score = e[0].copy()
         for t in range(1, steps):
-            through = score[:, :, None] + self.move
-            came[t] = through.argmax(axis=1)
-            score = np.where((t < sizes)[:, None], through.max(axis=1) + e[t], score)
-        out, each = np.zeros((rows, steps), np.uint8), np.arange(rows)
-        tag = score.argmax(axis=1)
+            n = live[t]
+            best, from_ = score[0, :n] + self.move[0][:, None], came[t][:, :n]
+            for a in range(1, k):
+                through = score[a, :n] + self.move[a][:, None]
+                better = through > best
+                np.copyto(best, through, where=better)
+                np.copyto(from_, np.uint8(a), where=better)
+            np.add(best, e[t][:, :n], out=score[:, :n])
+        out, tag = np.zeros((rows, steps), np.uint8), score.argmax(axis=0)
+        each = np.arange(rows)
         for t in range(steps - 1, -1, -1):
-            inside = t < sizes
-            out[inside, t] = tag[inside]
+            n = live[t]
+            out[:n, t] = tag[:n]
             if t:
-                tag = np.where(inside, came[t, each, tag], tag)
+                tag[:n] = came[t, tag[:n], each[:n]]
         return out
 
     def texts(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -389,7 +407,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for big in batches:
-            for batch in slices(big, "text", 2 << 20):
+            for batch in slices(big, "text", 4 << 20):
                 texts = batch.column(1).to_pylist()
                 spans = tagger.texts([t or "" for t in texts])
                 done = [redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
@@ -410,7 +428,7 @@ def without_private(docs: DataFrame, text_col: str = "text", size_col: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for big in batches:
-            for batch in slices(big, text_col, 2 << 20):
+            for batch in slices(big, text_col, 4 << 20):
                 texts = batch.column(at).to_pylist()
                 spans = tagger.texts([t or "" for t in texts])
                 columns = list(batch.columns)

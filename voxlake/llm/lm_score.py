@@ -4,6 +4,7 @@ A text's probability is the sum, over all of its segmentations into vocabulary p
 product of the pieces' probabilities. The vocabulary's scores order its pieces; their first
 probabilities fall off with that rank. One expectation step over every document, weighted by
 these, gives each piece's expected count in the corpus, and so the probabilities that score.
+The step needs the corpus's distinct units and how often each occurs: they are shuffled.
 
 No piece holds white space but leading `▁`, hence a text's lattice falls apart into units: runs of
 `▁` with the word behind them, and line breaks. Its marginal is the product of its units', and
@@ -28,7 +29,7 @@ SPACE, BREAK = 0x2581, 10
 OFFSET = 10.0
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
-_FLUSH = 6_000_000
+_FLUSH = 10_000_000
 _GROUP = 600_000
 
 
@@ -232,9 +233,9 @@ def units(texts: list[str]) -> Units:
     return Units(body, start, size, Lattice.hashes(body, start, size), np.searchsorted(at, start, "right") - 1)
 
 
-def pack(u: Units, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, characters, sizes) of chosen units, the longest first."""
-    order = chosen[np.argsort(-u.size[chosen], kind="stable")]
+def pack(u: Units, chosen: np.ndarray, by_size: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, characters, sizes) of chosen units, the longest first or in the order given."""
+    order = chosen[np.argsort(-u.size[chosen], kind="stable")] if by_size else chosen
     size = u.size[order]
     at = np.repeat(u.start[order] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     return order, u.body[at], size
@@ -262,47 +263,75 @@ class Scorer:
         return np.bincount(u.row, values[which], minlength=len(texts))
 
 
-def expected_counts(texts: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Expected count of each piece over all rows of a one-column table of texts.
+def as_strings(body: np.ndarray, size: np.ndarray) -> pa.StringArray:
+    """Units that lie one after another as strings."""
+    wide = 1 + (body > 0x7F).astype(np.int64) + (body > 0x7FF) + (body > 0xFFFF)
+    at = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(size)])]
+    data = body.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data))
+
+
+def from_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and sizes of strings, in their order."""
+    data, at = raw(column)
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), np.diff(heads[at])
+
 
-    A task sends one row for each piece it met, so what is shuffled follows the input; the driver gets
-    as many rows as the vocabulary has pieces.
+def unit_counts(texts: DataFrame) -> DataFrame:
+    """(unit, n): how often each unit is in all rows of a one-column table of texts.
+
+    A task sends each unit that it met once a few million characters, so what is shuffled follows the input.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(v)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared.value)
-        total = np.zeros(len(shared.value.size))
         kept: list[tuple[np.ndarray, ...]] = []
         held = 0
 
-        def flush() -> None:
-            nonlocal held, total
-            if kept:
-                body, size, key, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-                kept.clear()
-                held = 0
-                _, first, which = np.unique(key, return_index=True, return_inverse=True)
-                u = Units(body, np.cumsum(size) - size, size, key, key)
-                by_size = np.argsort(-size[first], kind="stable")
-                _, body, size = pack(u, first[by_size])
-                total += lattice.expected(body, size, np.bincount(which, n)[by_size])
+        def flush() -> pa.RecordBatch:
+            body, size, key, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
+            _, first, which = np.unique(key, return_index=True, return_inverse=True)
+            _, body, size = pack(Units(body, np.cumsum(size) - size, size, key, key), first, by_size=False)
+            return pa.RecordBatch.from_arrays([as_strings(body, size), pa.array(np.bincount(which, n).astype(np.int64))], ["unit", "n"])
 
         for big in batches:
             for batch in slices(big, "text"):
                 u = units([t for t in batch.column(0).to_pylist() if t is not None])
                 keys, first, n = np.unique(u.key, return_index=True, return_counts=True)
-                order, body, size = pack(u, first)
-                ranked = np.argsort(-u.size[first], kind="stable")
-                kept.append((body, size, keys[ranked], n[ranked]))
-                held += len(body)
+                if len(keys):
+                    _, body, size = pack(u, first, by_size=False)
+                    kept.append((body, size, keys, n))
+                    held += len(body)
                 if held > _FLUSH:
-                    flush()
-        flush()
+                    held = 0
+                    yield flush()
+        if kept:
+            yield flush()
+
+    return texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def expected_counts(texts: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Expected count of each piece over all rows of a one-column table of texts.
+
+    The recursions run once for each distinct unit of the corpus. The driver gets as many rows as the
+    vocabulary has pieces.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(v)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(shared.value)
+        total = np.zeros(len(shared.value.size))
+        for batch in batches:
+            body, size = from_strings(batch.column(0))
+            u = Units(body, np.cumsum(size) - size, size, size, size)
+            order, body, size = pack(u, np.arange(len(size)))
+            total += lattice.expected(body, size, batch.column(1).to_numpy()[order])
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["piece", "n"])
 
-    rows = texts.mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    rows = unit_counts(texts).mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(v.size))
     out[rows.column("piece").to_numpy()] = rows.column("n").to_numpy()
     return out

@@ -60,7 +60,7 @@ def crop(vertices: DataFrame, faces: DataFrame, low: Sequence[int], high: Sequen
     kept = faces
     for c in CORNERS:
         kept = kept.join(inside.select(F.col("vid").alias(c)), c, "left_semi")
-    return inside, kept
+    return inside, kept.select(*CORNERS)
 
 
 def concatenated(meshes: DataFrame) -> DataFrame:

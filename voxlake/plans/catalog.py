@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -177,7 +177,6 @@ def _boxes(p: DataFrame) -> DataFrame:
     return p.select("pid", (F.col("x") - 20).alias("lo"), (F.col("x") + F.col("y") - 9).alias("hi"))
 
 
-_LOHI = [F.col("lo"), F.col("hi")]
 query("bbox_expand", "points", sql=f"SELECT pid, CAST(floor((lo - 3) / 16.0) * 16 + 3 AS BIGINT) AS lo, CAST(ceil((hi - 3) / 16.0) * 16 + 3 AS BIGINT) AS hi FROM ({_BOXES})")(
     lambda p: _boxes(p).select("pid", *[c.alias(n) for c, n in zip(geometry.expanded(F.col("lo"), F.col("hi"), 16, 3), ("lo", "hi"), strict=True)])
 )
@@ -213,13 +212,18 @@ GRID = (64, 64, 32)
 _PLACES = [(a, i, p) for p, (i, a) in enumerate((i, a) for i in range(6) for a in "xyz" if (1 << i) < dict(zip("xyz", GRID, strict=True))[a])]
 _MORTON = " | ".join(f"((({a} >> {i}) & 1) << {p})" for a, i, p in _PLACES)
 _INVERSE = {a: " | ".join(f"(((code >> {p}) & 1) << {i})" for b, i, p in _PLACES if b == a) for a in "xyz"}
-_XYZ = [F.col(a) for a in "xyz"]
-query("morton_code", "points", sql=f"SELECT pid, {_MORTON} AS code FROM points")(lambda p: p.select("pid", geometry.morton(_XYZ, GRID).alias("code")))
+
+
+def _morton() -> Column:
+    return geometry.morton([F.col(a) for a in "xyz"], GRID)
+
+
+query("morton_code", "points", sql=f"SELECT pid, {_MORTON} AS code FROM points")(lambda p: p.select("pid", _morton().alias("code")))
 query("morton_inverse", "points", sql="SELECT pid, " + ", ".join(f"{e} AS {a}" for a, e in _INVERSE.items()) + " FROM (SELECT pid, pid % 131072 AS code FROM points)")(
     lambda p: p.select("pid", *[c.alias(a) for c, a in zip(geometry.morton_inverse(F.col("pid") % 131072, GRID), "xyz", strict=True)])
 )
 query("shard_location", "points", sql=f"SELECT pid, (code >> 5) & 63 AS minishard, (code >> 11) & 15 AS shard, lower(printf('%x', (code >> 11) & 15)) AS name FROM (SELECT pid, {_MORTON} AS code FROM points)")(
-    lambda p: p.select("pid", geometry.morton(_XYZ, GRID).alias("code")).select("pid", *[c.alias(n) for c, n in zip(shards.location(F.col("code"), 5, 6, 4), ("shard", "name", "minishard"), strict=True)])
+    lambda p: p.select("pid", _morton().alias("code")).select("pid", *[c.alias(n) for c, n in zip(shards.location(F.col("code"), 5, 6, 4), ("shard", "name", "minishard"), strict=True)])
 )
 _LABELS = "SELECT CAST(s_suppkey * s_suppkey * 37 AS BIGINT) AS n FROM supplier"
 _SHARD_BITS = "least(4, CAST(ceil(log2(greatest(n / 1024.0, 1))) AS BIGINT))"

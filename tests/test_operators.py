@@ -189,7 +189,7 @@ def test_meshes(spark, tmp_path):
     assert m.edges().count() == 9 and m.triangles().count() == 3
     assert rows(m.transform(((2, 0, 0, 1), (0, 1, 0, 0), (0, 0, 1, 0))).vertices.where("vid = 1")) == {(1, 3.0, 0.0, 0.0)}
     vertices, faces = np.array([[0, 0, 0], [1, 2, 3], [4, 5, 6.5]], np.float32), np.array([[0, 1, 2]], np.uint32)
-    (tmp_path / "1:0").write_bytes(tables.mesh_bytes(vertices, faces))
+    (tmp_path / "1_0").write_bytes(tables.mesh_bytes(vertices, faces))
     (tmp_path / "2.obj").write_text(tables.obj_text(vertices, faces))
     got = tables.read_meshes(spark, str(tmp_path)).groupBy("kind", "id", "a", "b", "c").count().collect()
     assert len(got) == 4 and all(r["count"] == 2 for r in got)

@@ -18,7 +18,7 @@ from voxlake.llm.decontaminate import clean_documents
 from voxlake.llm.near_dedup import near_duplicate_groups
 from voxlake.llm.pii import without_private
 from voxlake.llm.quality import keep_selected
-from voxlake.llm.tables import drop_keys, read
+from voxlake.llm.tables import drop_keys, read, small_batches
 from voxlake.operators.components import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,6 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the least id; one row of each id."""
+    small_batches(spark)
     gone = cut(near_duplicate_groups(docs).where("not is_kept").select("doc_id"))
     unique = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"])) if repeated(docs) else docs
     return drop_keys(unique, gone, "doc_id", gone.count())
@@ -43,11 +44,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with [KIND] for each personal detail in the text."""
+    small_batches(spark)
     return without_private(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their tokens and whether these decode to the text again."""
+    small_batches(spark)
     return encode(docs)
 
 

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+#: Texts go to Python in batches of so many bytes at most, a longer one alone; rows alone bound nothing.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

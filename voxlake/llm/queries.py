@@ -73,6 +73,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x01-\x20]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        p AS (SELECT doc_id, w, CAST(unnest(generate_series(0, len(w) - 50)) AS BIGINT) AS i FROM w WHERE len(w) >= 50),
+        k AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM p),
+        r AS (SELECT DISTINCT doc_id, i FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(DISTINCT (doc_id, i)) > 1)),
+        s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r),
+        g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s)
+        SELECT doc_id, min(i) AS start_word, max(i) + 50 - min(i) AS n_words FROM g GROUP BY doc_id, island
+    """,
     "op9_embedding_range_join": """
         SELECT DISTINCT a.vec_id AS id_a, b.vec_id AS id_b
         FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id

@@ -11,8 +11,6 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
-_SPACES = re.compile(r"[ \t\r\f\v ]+")
-_LINES = re.compile(r" ?\n[ \n]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -31,7 +29,12 @@ def tokens(html: str) -> list[tuple[str, str]]:
 
 def tidy(text: str) -> str:
     """Character references resolved and white space collapsed, but for one line break a run that has any."""
-    return _LINES.sub("\n", _SPACES.sub(" ", _html.unescape(text))).strip()
+    if "&" in text:
+        text = _html.unescape(text)
+    if "\n" not in text:
+        return " ".join(text.split())
+    lines = (" ".join(line.split()) for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def plain_text(html: str) -> str:

@@ -56,6 +56,7 @@ def _path_hash(path: str) -> int:
 def page_tokens(html: str) -> Iterator[Token]:
     """(token, path, text) in order; text is "" for a tag. A path has the last 64 tags at most."""
     stack: list[str] = []
+    paths = [""]  # of the root and of each open tag
     path = ""
     for tag, text in tokens(html):
         if tag and tag != "!":
@@ -64,22 +65,24 @@ def page_tokens(html: str) -> Iterator[Token]:
                 if name in stack:
                     while stack.pop() != name:
                         pass
-                path = "/".join(stack[-_LIMIT:])
+                    del paths[len(stack) + 1 :]
+                path = paths[-1]
                 yield _path_hash(path + tag), path, ""
             else:
                 if tag in _IMPLIED:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k] == tag:
-                            del stack[k:]
+                            del stack[k:], paths[k + 1 :]
                             break
                         if stack[k] in _BOUNDS:
                             break
+                path = paths[-1]
                 if tag in VOID:
-                    path = "/".join(stack[-_LIMIT:])
                     yield _path_hash(f"{path}/{tag}"), path, ""
                 else:
                     stack.append(tag)
-                    path = "/".join(stack[-_LIMIT:])
+                    path = (f"{path}/{tag}" if path else tag) if len(stack) <= _LIMIT else "/".join(stack[-_LIMIT:])
+                    paths.append(path)
                     yield _path_hash(path), path, ""
         if text and not text.isspace():
             text = tidy(text)

@@ -167,5 +167,5 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # documents with the same MinHash throughout are linked at once, and one of them goes on
     alike = signed.groupBy("whole").agg(F.min(F.struct("id", "bands", "sketch")).alias("s"))
     copies = signed.select("whole", "id").join(alike.select("whole", F.col("s.id").alias("src")), "whole").where("id <> src").select("src", F.col("id").alias("dst"))
-    edges = copies.union(verified_links(alike.select("s.id", "s.bands", "s.sketch"), threshold)).distinct()
+    edges = cut(copies.union(verified_links(alike.select("s.id", "s.bands", "s.sketch"), threshold)).distinct())
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("is_kept"))

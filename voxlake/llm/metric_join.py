@@ -6,7 +6,7 @@ inequality gives d(x, p_j) <= d(x, p_h) + 2 r, and also d(x, p_j)^2 - d(x, p_h)^
 since the boundary between the cells is the pivots' bisector. x is copied to every cell j < h for
 which both hold, so that each pair within r meets in exactly one cell, the lower of its homes.
 Cells are joined independently of each other. A large cell is split: each share of its own vectors meets
-the whole cell in a task of its own. Nothing is approximate and no partner is left out.
+each share of the whole cell in a task of its own, so that no task holds more than two shares. Nothing is approximate and no partner is left out.
 """
 
 from __future__ import annotations
@@ -89,23 +89,27 @@ def _pairs(rows: DataFrame, size: int, n: int, min_cosine: float, share: int, pi
     if not len(p):
         p = np.eye(1, size)
     cells = cut(placed(rows, size, p, radius(min_cosine)))
-    shares = cells.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / share).alias("shares"))
-    # a share has its own vectors on the left, and all vectors of the cell on the right
-    split = cells.join(shares.where("shares > 0"), "cell")
-    own = F.when(F.col("home"), F.pmod(F.xxhash64("id"), F.col("shares"))).otherwise(-1)
-    tasks = split.withColumn("own", own).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    tasks = tasks.select("cell", "share", (F.col("own") == F.col("share")).alias("left"), "home", "id", "vector")
+    up = lambda c: F.greatest(F.ceil(c / share), F.lit(1))
+    shares = cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("own"), up(F.count("*")).alias("rights")).where("own > 0")
+    split = cells.join(shares.select("cell", up(F.col("own")).alias("lefts"), "rights"), "cell")
+    # a task compares a share of the cell's own vectors, on the left, with a share of all of them
+    place = lambda n: F.pmod(F.xxhash64("id"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = split.where("home").select("cell", place(F.col("lefts")).alias("i"), every(F.col("rights")).alias("j"), F.lit(True).alias("left"), "home", "id", "vector")
+    right = split.select("cell", every(F.col("lefts")).alias("i"), place(F.col("rights")).alias("j"), F.lit(False).alias("left"), "home", "id", "vector")
+    tasks = left.union(right)
 
     def join(table: pa.Table) -> pa.Table:
         ids, home, left = (table.column(c).to_numpy() for c in ("id", "home", "left"))
         x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), size)
-        small, mine = x.astype(np.float32), np.flatnonzero(left)
+        small, mine, others = x.astype(np.float32), np.flatnonzero(left), np.flatnonzero(~left)
         found = []
         for low in range(0, len(mine), _BLOCK):
             a = mine[low : low + _BLOCK]
-            for lo in range(0, len(ids), 16 * _BLOCK):
-                near_a, near_b = np.nonzero(small[a] @ small[lo : lo + 16 * _BLOCK].T >= min_cosine - _SLACK)
-                near_a, near_b = a[near_a], near_b + lo
+            for lo in range(0, len(others), 16 * _BLOCK):
+                b = others[lo : lo + 16 * _BLOCK]
+                near_a, near_b = np.nonzero(small[a] @ small[b].T >= min_cosine - _SLACK)
+                near_a, near_b = a[near_a], b[near_b]
                 keep = (ids[near_a] != ids[near_b]) & (~home[near_b] | (ids[near_a] < ids[near_b]))
                 near_a, near_b = near_a[keep], near_b[keep]
                 for k in range(0, len(near_a), 1 << 16):
@@ -115,4 +119,4 @@ def _pairs(rows: DataFrame, size: int, n: int, min_cosine: float, share: int, pi
         a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found, strict=True) if found else ((), ())))
         return pa.table({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b)})
 
-    return tasks.groupBy("cell", "share").applyInArrow(join, "id_a long, id_b long")
+    return tasks.groupBy("cell", "i", "j").applyInArrow(join, "id_a long, id_b long")

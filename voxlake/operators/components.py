@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def least_roots(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each of n nodes' components, by hooking and pointer jumping."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[src], root[dst]), np.maximum(root[src], root[dst])
+        open_ = low != high
+        if not open_.any():
+            return root
+        np.minimum.at(root, high[open_], low[open_])
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Edges (u, v) of each partition as stars around the least node of the partition's components.
+
+    What is connected stays so, and no partition sends more edges than it has nodes.
+    """
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = least_roots(at[: len(u)], at[len(u) :], len(nodes))
+            far = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["u", "v"])
+
+    return pairs.mapInArrow(contract, "u long, v long")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """One row (node, component) for each node of the undirected edges; component is the least node.
 
@@ -32,12 +67,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round links all larger neighbours to the least one (large star), then each node and
     its smaller neighbours to the least one (small star); a path of n nodes takes O(log n)
-    rounds. Every round is cut from its lineage by a checkpoint.
+    rounds. Every round is cut from its lineage by a checkpoint. Edges between longs are contracted within
+    their partitions first.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select(F.col("u").alias("node"))
-    e = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if dict(e.dtypes)["u"] == "bigint":
+        e = contracted(e)
+    e = cut(e.distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).union(loops).distinct()
     known = None
     for _ in range(max_rounds):

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxlake.functions.geometry import AXES, floor_div, in_box
-from voxlake.operators.components import connected_components
+from voxlake.operators.components import connected_components, least_roots
 
 KEY = list(AXES)
 #: Half of the 26 neighbours of a voxel; the others are their opposites.
@@ -188,16 +188,7 @@ def label_26(xyz: np.ndarray) -> np.ndarray:
         hit = ordered[at] == want
         src.append(np.flatnonzero(hit))
         dst.append(order[at[hit]])
-    src, dst = np.concatenate(src), np.concatenate(dst)
-    root = np.arange(n)
-    while True:
-        low_, high_ = np.minimum(root[src], root[dst]), np.maximum(root[src], root[dst])
-        open_ = low_ != high_
-        if not open_.any():
-            return root
-        np.minimum.at(root, high_[open_], low_[open_])
-        while not np.array_equal(root, root[root]):
-            root = root[root]
+    return least_roots(np.concatenate(src), np.concatenate(dst), n)
 
 
 def pairwise_clouds(v: DataFrame, candidates: DataFrame, half: Sequence[int] = (80, 80, 32), resolution: Sequence[int] = (4, 4, 40), block: int = 8) -> DataFrame:

@@ -127,7 +127,7 @@ def test_volume_front(spark, cube, tmp_path):
         want.setdefault((x // 2, y // 2, z // 2), []).append(k)
     assert rows(vol.downsample((2, 2, 2)).df.select("x", "y", "z", "label")) == {(*p, min(c, key=lambda k: (-c.count(k), k))) for p, c in want.items()}
     np.save(tmp_path / "a.npy", data.astype(np.uint64))
-    assert cli.main(["compress", str(tmp_path / "a.npy")]) == 0 == cli.main(["decompress", str(tmp_path / "a.npy.cseg"), "--shape", "14,11,9"])
+    assert cli.main(["compress", str(tmp_path / "a.npy")]) == 0 == cli.main(["decompress", str(tmp_path / "a.npy.pal"), "--shape", "14,11,9"])
     assert np.array_equal(np.load(tmp_path / "a.npy")[..., 0], data)
 
 

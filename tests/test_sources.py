@@ -120,7 +120,7 @@ def test_redirects(tmp_path):
         formats.follow(Path(str(tmp_path / "x")))
 
 
-SCALE = Scale("4_4_40", "uint32", (40, 33, 20), (-5, 7, 0), (16, 16, 8), (4, 4, 40), "compressed_segmentation")
+SCALE = Scale("4_4_40", "uint32", (40, 33, 20), (-5, 7, 0), (16, 16, 8), (4, 4, 40), "palette")
 
 
 def voxels_of(data, offset):

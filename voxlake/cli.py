@@ -21,7 +21,7 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     for f in a.files:
         if a.action == "compress":
-            f.with_suffix(f.suffix + ".cseg").write_bytes(codec.compress(np.load(f), a.block))
+            f.with_suffix(f.suffix + ".pal").write_bytes(codec.compress(np.load(f), a.block))
         elif a.shape is None:
             p.error("--shape is needed")
         else:

@@ -133,7 +133,7 @@ def encode(data: np.ndarray, encoding: str, block: Sequence[int] = (8, 8, 8)) ->
         out = io.BytesIO()
         np.savez_compressed(out, data)
         return out.getvalue()
-    if encoding == "compressed_segmentation":
+    if encoding == "palette":
         return compress(data, block)
     raise ValueError(f"no codec for {encoding}")
 
@@ -143,7 +143,7 @@ def decode(body: bytes, encoding: str, shape: Sequence[int], dtype, block: Seque
         return np.frombuffer(body, dtype).reshape(shape, order="F")
     if encoding == "npz":
         return np.load(io.BytesIO(body))["arr_0"].reshape(shape)
-    if encoding == "compressed_segmentation":
+    if encoding == "palette":
         return decompress(body, shape, dtype, block)
     raise ValueError(f"no codec for {encoding}")
 
@@ -157,7 +157,7 @@ def expand(body: bytes) -> bytes:
     return gzip.decompress(body) if body[:2] == b"\x1f\x8b" else lzma.decompress(body) if body[:6] == b"\xfd7zXZ\x00" else body
 
 
-def chunk_bodies(v: DataFrame, size: Sequence[int], dtype: str = "uint64", encoding: str = "compressed_segmentation", block: Sequence[int] = (8, 8, 8)) -> DataFrame:
+def chunk_bodies(v: DataFrame, size: Sequence[int], dtype: str = "uint64", encoding: str = "palette", block: Sequence[int] = (8, 8, 8)) -> DataFrame:
     """(gx, gy, gz, content) of a volume's chunks, each encoded in the task that has its voxels."""
     keys = [floor_div(F.col(a), n).alias(f"g{a}") for a, n in zip("xyz", size, strict=True)]
 
@@ -170,7 +170,7 @@ def chunk_bodies(v: DataFrame, size: Sequence[int], dtype: str = "uint64", encod
     return v.select("x", "y", "z", "label", *keys).groupBy("gx", "gy", "gz").applyInArrow(make, "gx long, gy long, gz long, content binary")
 
 
-def chunk_voxels(chunks: DataFrame, size: Sequence[int], dtype: str = "uint64", encoding: str = "compressed_segmentation", block: Sequence[int] = (8, 8, 8)) -> DataFrame:
+def chunk_voxels(chunks: DataFrame, size: Sequence[int], dtype: str = "uint64", encoding: str = "palette", block: Sequence[int] = (8, 8, 8)) -> DataFrame:
     """The voxels of encoded chunks, without background."""
 
     def read(batches):

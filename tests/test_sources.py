@@ -17,8 +17,8 @@ def random_labels(shape, n=9, dtype=np.uint32, seed=0):
     return np.random.default_rng(seed).integers(0, n, shape).astype(dtype)
 
 
-@pytest.mark.parametrize("dtype", [np.uint32, np.uint64])
 @pytest.mark.parametrize("block", [(8, 8, 8), (4, 4, 4), (2, 3, 5)])
+@pytest.mark.parametrize("dtype", [np.uint64, np.uint32])
 @pytest.mark.parametrize("shape,n", [((8, 8, 8), 1), ((9, 17, 5), 2), ((16, 8, 20), 40), ((13, 11, 12), 3000), ((1, 1, 1), 5)])
 def test_codec_round_trip(dtype, block, shape, n):
     data = random_labels(shape, n, dtype)
@@ -87,9 +87,9 @@ def test_murmur3_against_a_plain_version():
     assert murmur3_low64(keys).tolist() == [plain(int(k)) for k in keys]
 
 
-@pytest.mark.parametrize("encoding", ["raw", "gzip"])
-def test_shard_round_trip(tmp_path, encoding):
-    spec = ShardSpec(1, 2, 0, "identity", encoding, encoding)
+@pytest.mark.parametrize("how", ["gzip", "raw"])
+def test_shard_round_trip(tmp_path, how):
+    spec = ShardSpec(1, 2, 0, "identity", how, how)
     items = {k: bytes([k]) * (k % 5 + 1) for k in (0, 3, 9, 10, 200, 77)}
     path = Path(str(tmp_path / "0.shard"))
     path.write(formats.shard_body(items, spec))
@@ -198,7 +198,7 @@ def test_zarr_and_n5(spark, tmp_path):
         p.mkdir()
     (z2 / ".zarray").write_text(json.dumps({"shape": [7, 9, 10], "chunks": [3, 5, 4], "dtype": ">u2", "compressor": {"id": "gzip"}, "order": "F", "fill_value": 0, "zarr_format": 2}))
     codecs = [{"name": "transpose", "configuration": {"order": [2, 0, 1]}}, {"name": "bytes", "configuration": {"endian": "big"}}, {"name": "gzip", "configuration": {}}, {"name": "crc32c"}]
-    (z3 / "zarr.json").write_text(json.dumps({"shape": [7, 9, 10], "data_type": "uint16", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [3, 5, 4]}}, "chunk_key_encoding": {"name": "default"}, "codecs": codecs, "fill_value": 0}))
+    (z3 / "zarr.json").write_text(json.dumps({"shape": [7, 9, 10], "data_type": "uint16", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [3, 5, 4]}}, "codecs": codecs, "chunk_key_encoding": dict(name="default"), "fill_value": 0}))
     (n5 / "attributes.json").write_text(json.dumps({"dimensions": [10, 9, 7], "blockSize": [4, 5, 3], "dataType": "uint16", "compression": {"type": "gzip"}}))
     for g, part, full in zarr_chunks(data, chunk):
         (z2 / ".".join(map(str, g[::-1]))).write_bytes(gzip.compress(full.astype(">u2").tobytes("F")))

@@ -32,7 +32,7 @@ def _grid(shape: Sequence[int], block: Sequence[int]) -> list[int]:
 
 def compress(data: np.ndarray, block: Sequence[int] = (8, 8, 8)) -> bytes:
     """data is [x, y, z] or [x, y, z, channel] of uint32 or uint64."""
-    if data.dtype not in (np.uint32, np.uint64):
+    if data.dtype.name not in ("uint32", "uint64"):
         raise TypeError(f"labels are uint32 or uint64, not {data.dtype}")
     data = data[..., None] if data.ndim == 3 else data
     channels = [_channel(data[..., c], block) for c in range(data.shape[3])]

@@ -11,9 +11,9 @@ AXES = ("x", "y", "z")
 Triple = Sequence[int]
 
 #: Metres in a spatial unit.
-SPACE_UNITS = {"pm": 1e-12, "A": 1e-10, "nm": 1e-9, "um": 1e-6, "mm": 1e-3, "cm": 1e-2, "m": 1.0, "km": 1e3, "Mm": 1e6, "Gm": 1e9, "Tm": 1e12}
+SPACE_UNITS = {unit: 10.0**power for unit, power in zip("pm A nm um mm cm m km Mm Gm Tm".split(), (-12, -10, -9, -6, -3, -2, 0, 3, 6, 9, 12), strict=True)}
 #: Seconds in a unit of time.
-TIME_UNITS = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0, "min": 60.0, "h": 3600.0, "d": 86400.0}
+TIME_UNITS = dict(zip("ns us ms s min h d".split(), (1e-9, 1e-6, 1e-3, 1.0, 60.0, 3600.0, 86400.0), strict=True))
 
 
 def in_box(low: Triple, high: Triple, axes: Sequence[str] = AXES) -> Column:

@@ -36,7 +36,7 @@ def query(name: str, *relations: str, sql: str | None = None, recursive: bool =
     return register
 
 
-# --- scans, filters, projections --------------------------------------------------------------
+# scans, filters, projections
 
 query("voxelize", "vox", sql="SELECT x, y, z, label FROM vox")(lambda v: v)
 query("box_scan", "vox", sql=f"SELECT x, y, z, label FROM vox WHERE {IN_BOX}")(lambda v: voxels.box(v, LOW, HIGH))
@@ -53,7 +53,7 @@ def channel_scan(v: DataFrame) -> DataFrame:
     return channels.where("c >= 1 and c < 3").select("x", "y", "z", "c", (F.col("label") * (F.col("c") + 1)).alias("label"))
 
 
-# --- grids ------------------------------------------------------------------------------------
+# grids
 
 _GRID = "SELECT CAST(a.v AS BIGINT) AS gx, CAST(b.v AS BIGINT) AS gy, CAST(c.v AS BIGINT) AS gz FROM generate_series(0, 2) a(v), generate_series(0, 3) b(v), generate_series(0, 1) c(v)"
 _BOUNDS = f"SELECT gx, gy, gz, gx * 16 AS x0, least((gx + 1) * 16, 64) AS x1, gy * 16 AS y0, least((gy + 1) * 16, 64) AS y1, gz * 16 AS z0, least((gz + 1) * 16, 27) AS z1 FROM ({_GRID})"
@@ -76,7 +76,7 @@ def chunk_exists(v: DataFrame) -> DataFrame:
     return grid.exists(_chunks(v.sparkSession), v.where("label = 7"), (16, 16, 16)).select("gx", "gy", "gz", "held")
 
 
-# --- labels -----------------------------------------------------------------------------------
+# labels
 
 query("unique_labels", "vox", sql="SELECT DISTINCT label FROM vox UNION SELECT 0 WHERE (SELECT count(*) FROM vox) < 64 * 64 * 32")(lambda v: voxels.unique(v, 64 * 64 * 32))
 query("unique_core_shell", "vox", sql=f"SELECT DISTINCT label FROM vox WHERE {IN_BOX}")(lambda v: blocks.unique(v, blocks.palettes(v), LOW, HIGH))
@@ -84,7 +84,7 @@ query("renumber", "vox", sql=f"SELECT x, y, z, dense_rank() OVER (ORDER BY label
 query("remap_labels", "vox", "mapping", sql="SELECT x, y, z, coalesce(root, vox.label) AS label FROM vox LEFT JOIN mapping ON vox.label = mapping.label")(voxels.remap)
 query("remap_strict", "vox", "mapping", sql="SELECT x, y, z, root AS label FROM vox JOIN mapping ON vox.label = mapping.label")(lambda v, m: voxels.remap(v.where("label between 1 and 5"), m, strict=True))
 
-# --- nearest, components, boundaries ---------------------------------------------------------------
+# nearest, components, boundaries
 
 _D2 = "(x - 31) * (x - 31) + (y - 17) * (y - 17) + (z - 11) * (z - 11)"
 _BLOCK_ORDER = "z // 8, y // 8, x // 8, z % 8, y % 8, x % 8"
@@ -141,7 +141,7 @@ def pairwise_cloud(v: DataFrame, candidates: DataFrame) -> DataFrame:
 query("scattered_points", "vox", "points", sql="SELECT p.x, p.y, p.z, coalesce(label, 0) AS label FROM (SELECT DISTINCT x, y, z FROM points) p LEFT JOIN vox USING (x, y, z)")(voxels.points)
 query("download_point", "vox", sql="SELECT x, y, z, label FROM vox WHERE x >= 26 AND x < 36 AND y >= 14 AND y < 21 AND z = 11")(lambda v: voxels.around(v, CENTER, (10, 7, 1)))
 
-# --- blocks -----------------------------------------------------------------------------------
+# blocks
 
 _BLOCKS = "SELECT x // 8 AS bx, y // 8 AS by, z // 8 AS bz, label FROM vox"
 _PALETTES = f"SELECT bx, by, bz, list_sort(list_distinct(CASE WHEN count(*) < 512 THEN list_append(list(label), 0) ELSE list(label) END)) AS palette FROM ({_BLOCKS}) GROUP BY 1, 2, 3"
@@ -160,7 +160,7 @@ query("block_roundtrip", "vox", sql="SELECT x, y, z, label FROM vox")(lambda v:
 query("block_remap", "vox", "mapping", sql="SELECT x, y, z, coalesce(root, vox.label) AS label FROM vox LEFT JOIN mapping ON vox.label = mapping.label")(lambda v, m: blocks.decode(blocks.remap(blocks.encode(v), m)))
 query("edge_block_clip", "vox", sql=f"SELECT bx, by, bz, array_to_string(palette, ',') AS palette FROM ({_PALETTES.replace('FROM vox', f'FROM vox WHERE {IN_BOX}')})")(lambda v: blocks.clip(v, LOW, HIGH).select("bx", "by", "bz", _text("palette").alias("palette")))
 
-# --- writes -----------------------------------------------------------------------------------
+# writes
 
 query("shade_overlay", "vox", "vox_dense", sql=f"SELECT coalesce(a.x, b.x) AS x, coalesce(a.y, b.y) AS y, coalesce(a.z, b.z) AS z, coalesce(b.label, a.label) AS label FROM vox a FULL JOIN (SELECT * FROM vox_dense WHERE {IN_BOX}) b ON a.x = b.x AND a.y = b.y AND a.z = b.z")(lambda v, d: voxels.overlay(v, d, LOW, HIGH))
 query("write_merge", "vox", "vox_dense", sql=f"SELECT x, y, z, label FROM vox WHERE NOT ({IN_BOX}) UNION ALL SELECT x, y, z, label FROM vox_dense WHERE {IN_BOX}")(lambda v, d: voxels.replaced(v, d, LOW, HIGH))
@@ -168,7 +168,7 @@ query("delete_black_chunks", "vox", sql="SELECT x // 8 AS gx, y // 8 AS gy, z //
     lambda v: v.groupBy(*[geometry.floor_div(F.col(a), 8).alias(f"g{a}") for a in "xyz"]).agg(F.bool_or(F.col("label") > 4).alias("held")).where("not held").drop("held")
 )
 
-# --- boxes, scales, keys --------------------------------------------------------------------------
+# boxes, scales, keys
 
 _BOXES = "SELECT pid, x - 20 AS lo, x + y - 9 AS hi FROM points"
 
@@ -256,7 +256,7 @@ def range_coalesce(p: DataFrame) -> DataFrame:
     return shards.coalesced_ranges(r, "path", "lo", "hi")
 
 
-# --- graph ------------------------------------------------------------------------------------
+# graph
 
 SPEC = graph.LabelSpec()
 _RAW = "SELECT pid, (CAST(2 AS BIGINT) << 56) | (x << 46) | (y << 36) | (z << 26) | (pid % 67108864) AS label FROM points"
@@ -281,7 +281,7 @@ query("agglomerate_cutout", "vox", "graph_edges", sql=f"SELECT x, y, z, coalesce
     lambda v, e: voxels.remap(voxels.box(v, LOW, HIGH), graph.roots(e, v.select(F.col("label").alias("id")).distinct(), 2, stop_layer=2).select(F.col("id").alias("label"), "root"))
 )
 
-# --- spatial index ------------------------------------------------------------------------------
+# spatial index
 
 QUERY_BOX = (10, 10, 5, 40, 50, 9)
 query("spatial_query", "spatial_cells", sql="SELECT DISTINCT label FROM spatial_cells WHERE x0 < 40 AND 10 < x1 AND y0 < 50 AND 10 < y1 AND z0 < 9 AND 5 < z1")(lambda s: spatial.query(s, QUERY_BOX, 16))
@@ -291,7 +291,7 @@ query("spatial_gap", "spatial_cells", sql="SELECT CAST(a.v AS BIGINT) AS cx, CAS
     lambda s: spatial.gaps(grid.chunks(s.sparkSession, (0, 0, 0), (80, 64, 48), (16, 16, 16)).select(*[F.col(f"g{a}").alias(f"c{a}") for a in "xyz"]), s)
 )
 
-# --- meshes and skeletons -------------------------------------------------------------------------
+# meshes and skeletons
 
 _CORNERS = ("v0", "v1", "v2")
 query("mesh_edges", "mesh_faces", sql="SELECT least(v0, v1) AS a, greatest(v0, v1) AS b FROM mesh_faces UNION ALL SELECT least(v1, v2), greatest(v1, v2) FROM mesh_faces UNION ALL SELECT least(v0, v2), greatest(v0, v2) FROM mesh_faces")(mesh.edges)
@@ -328,7 +328,7 @@ def _consolidated(v: DataFrame, e: DataFrame) -> DataFrame:
     return out.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-# --- others -----------------------------------------------------------------------------------
+# others
 
 query("cache_stats", "vox", sql=f"SELECT bz AS mip, count(*) AS num_files, CAST(sum(n) AS BIGINT) AS num_bytes FROM (SELECT bx, by, bz, count(*) AS n FROM ({_BLOCKS}) GROUP BY 1, 2, 3) GROUP BY bz")(
     lambda v: v.select(*blocks.block_columns(8)).groupBy("bx", "by", "bz").agg(F.count("*").alias("n")).groupBy(F.col("bz").alias("mip")).agg(F.count("*").alias("num_files"), F.sum("n").alias("num_bytes"))

@@ -140,7 +140,7 @@ def morton_code(g: Sequence[int], grid: Sequence[int]) -> int:
 WIRE = "_".join(("compressed", "segmentation"))
 
 
-# --- precomputed ------------------------------------------------------------------------------
+# precomputed
 
 
 def follow(path: Path, limit: int = 10) -> tuple[Path, dict]:
@@ -199,7 +199,7 @@ def chunk_file(scale: Scale, g: Sequence[int]) -> str:
     return scale.key + "/" + "_".join(f"{a}-{b}" for a, b in zip(low, high, strict=True))
 
 
-# --- shards -----------------------------------------------------------------------------------
+# shards
 
 
 @dataclass(frozen=True)
@@ -291,7 +291,7 @@ def shard_items(path: Path, spec: ShardSpec, keys: Sequence[int] | None = None,
             yield k, codec.expand(part) if spec.data_encoding == "gzip" else part
 
 
-# --- zarr and n5 --------------------------------------------------------------------------------
+# zarr and n5
 
 
 def _zstd(body: bytes) -> bytes:
@@ -350,9 +350,10 @@ def zarr3_scale(path: Path, key: str = "") -> Scale:
     if body is None:
         raise FileNotFoundError(f"{at.uri}/zarr.json")
     meta = json.loads(body)
-    if meta["chunk_grid"]["name"] != "regular" or any(c["name"] == "sharding_indexed" for c in meta["codecs"]):
+    grid = meta["chunk_grid"]
+    if grid["name"] != "regular" or any(c["name"] == "sharding_indexed" for c in meta["codecs"]):
         raise NotImplementedError("only regular grids without sharding")
-    shape, chunk = meta["shape"][::-1], meta["chunk_grid"]["configuration"]["chunk_shape"][::-1]
+    shape, chunk = meta["shape"][::-1], grid["configuration"]["chunk_shape"][::-1]
     how = meta.get("chunk_key_encoding", {"name": "default"})
     separator = how.get("configuration", {}).get("separator", "/" if how["name"] == "default" else ".")
     attrs = meta.get("attributes", {})
@@ -395,7 +396,7 @@ def _zarr3_pipeline(body: bytes, codecs: Sequence[dict], shape: tuple[int, ...],
     return data
 
 
-# --- reading ------------------------------------------------------------------------------------
+# reading
 
 
 @dataclass(frozen=True)

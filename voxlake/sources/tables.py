@@ -81,10 +81,13 @@ def read_spatial_index(spark: SparkSession, glob: str) -> DataFrame:
     return from_json(files.select(F.regexp_extract("path", r"([^/]+)\.spatial$", 1).alias("name"), F.decode("content", "utf-8").alias("content")))
 
 
+PROVENANCE = ("description", "owners", "processing", "sources")
+
+
 def write_provenance(path: str, description: str = "", owners: list[str] | None = None, processing: list[dict] | None = None, sources: list[str] | None = None) -> None:
-    (Path(path) / "provenance").write(json.dumps({"description": description, "owners": owners or [], "processing": processing or [], "sources": sources or []}).encode())
+    (Path(path) / "provenance").write(json.dumps(dict(zip(PROVENANCE, (description, owners or [], processing or [], sources or []), strict=True))).encode())
 
 
 def read_provenance(path: str) -> dict:
     body = (Path(path) / "provenance").read()
-    return json.loads(body) if body else {"description": "", "owners": [], "processing": [], "sources": []}
+    return json.loads(body) if body else {k: [] if k != "description" else "" for k in PROVENANCE}

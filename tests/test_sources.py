@@ -220,3 +220,24 @@ def test_scales():
     s = formats.add_scale([SCALE], (2, 2, 1))
     assert (s.key, s.size, s.offset) == ("8_8_40", (20, 17, 20), (-3, 3, 0))
     assert formats.precomputed_scales(formats.precomputed_info([SCALE, s])) == [SCALE, s]
+
+
+def test_locked_scales(spark, tmp_path):
+    frame, path = spark.createDataFrame([(0, 8, 1, 3)], "x long, y long, z long, label long"), str(tmp_path / "layer")
+    volume.write_volume(frame, path, SCALE)
+    volume.set_locked(path, [SCALE.key])
+    with pytest.raises(volume.LockedScale):
+        volume.write_volume(frame, path, SCALE)
+    volume.set_locked(path, [SCALE.key], False)
+    volume.write_volume(frame, path, SCALE)
+
+
+def test_image_shards():
+    from voxlake.operators.shards import image_parameters, shard_shape
+
+    assert image_parameters((1, 1, 1)) == (0, 0, 0) and image_parameters((64, 64, 32)) == (10, 7, 0) and image_parameters((4096, 4096, 512)) == (10, 9, 14)
+    grid = (8, 16, 3)
+    for bits in range(10):
+        first = [p for p in np.ndindex(*grid) if formats.morton_code(p, grid) < 1 << bits]
+        shape = shard_shape(grid, bits)
+        assert all(max(p[k] for p in first) < shape[k] for k in range(3))

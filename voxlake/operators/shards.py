@@ -46,3 +46,27 @@ def hashed_columns(labels: Column, max_shards: int = 16, max_per_minishard: int
     n = labels.cast("double")
     shard = F.least(F.lit(math.ceil(math.log2(max_shards))).cast("long"), up(n / max_per_minishard))
     return shard, up(n / (max_per_minishard * F.pow(F.lit(2.0), shard)))
+
+
+def image_parameters(grid: tuple[int, int, int], minishard_index_bytes: int = 40_000, shard_index_bytes: int = 8_192) -> tuple[int, int, int]:
+    """(preshift bits, minishard bits, shard bits) for the chunks of a grid, numbered by morton code.
+
+    Neighbouring chunks share a minishard while its index, of 24 bytes a chunk, fits; minishards a shard while
+    the shard's index, of 16 bytes each, does; what bits are left tell shards apart.
+    """
+    left = sum((n - 1).bit_length() for n in grid)
+    preshift = min(left, int(math.log2(max(1, minishard_index_bytes // 24))))
+    minishard = min(left - preshift, int(math.log2(max(1, shard_index_bytes // 16))))
+    return preshift, minishard, left - preshift - minishard
+
+
+def shard_shape(grid: tuple[int, int, int], bits: int) -> tuple[int, ...]:
+    """Chunks on each axis of the box that 2**bits consecutive morton codes fill: x gets a bit first, then y and z."""
+    shape, i = [1, 1, 1], 0
+    while bits and any((1 << i) < n for n in grid):
+        for axis, n in enumerate(grid):
+            if bits and (1 << i) < n:
+                shape[axis] *= 2
+                bits -= 1
+        i += 1
+    return tuple(shape)

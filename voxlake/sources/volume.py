@@ -112,6 +112,26 @@ def aligned(low: Sequence[int], high: Sequence[int], scale: Scale) -> bool:
     return all((a - o) % c == 0 and ((b - o) % c == 0 or b == e) for a, b, o, c, e in zip(low, high, scale.offset, scale.chunk, scale.end, strict=True))
 
 
+class LockedScale(ValueError):
+    pass
+
+
+def locked_scales(base: Path) -> set[str]:
+    """Keys of the scales that mustn't be written."""
+    body = (base / "info").read()
+    return {s["key"] for s in json.loads(codec.expand(body))["scales"] if s.get("locked")} if body else set()
+
+
+def set_locked(path: str, keys: Sequence[str], locked: bool = True) -> None:
+    """Lock scales against writing, or unlock them."""
+    base = Path(path)
+    info = json.loads(codec.expand((base / "info").read()))
+    for s in info["scales"]:
+        if s["key"] in keys:
+            s["locked"] = locked
+    (base / "info").write(json.dumps(info).encode())
+
+
 def write_volume(v: DataFrame, path: str, scale: Scale, layer_type: str = "segmentation", compress: str | None = "gzip", delete_black: bool = True, low: Sequence[int] | None = None, high: Sequence[int] | None = None) -> DataFrame:
     """Write voxels (x, y, z, label[, c]) as a precomputed volume; returns (name, n_voxels) of what was written.
 
@@ -120,6 +140,8 @@ def write_volume(v: DataFrame, path: str, scale: Scale, layer_type: str = "segme
     renamed into place, so that tasks may run again.
     """
     base = Path(path)
+    if scale.key in locked_scales(base):
+        raise LockedScale(f"{scale.key} of {path} is locked")
     (base / "info").write(json.dumps(precomputed_info([scale], layer_type)).encode())
     spark = v.sparkSession
     s, spec, volume = scale, ShardSpec.of(scale.sharding) if scale.sharding else None, Volume(base, "precomputed", scale)

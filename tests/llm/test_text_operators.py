@@ -32,7 +32,7 @@ def docs(spark, rows):
 ODD = [(None, "null id text"), (100, None), (101, ""), (102, " \n\t "), (103, "x" * 30000), (104, "é漢🎉 ½ word"), (105, "same row"), (105, "same row")]
 
 
-# --- shared ---------------------------------------------------------------------------------
+# shared
 
 
 @settings(max_examples=60, deadline=None)
@@ -49,7 +49,7 @@ def test_words_depend_on_bytes_alone(texts):
     assert all(w.row[i] == w.row[i + 1] for i in where) and len(two) == sum(max(0, len(re.findall(r"[^\x00-\x20]+", t or "")) - 1) for t in texts)
 
 
-# --- 1 substring dedup ----------------------------------------------------------------------
+# 1 substring dedup
 
 
 def brute_passages(rows, length):
@@ -88,7 +88,7 @@ def test_passages_of_odd_rows(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).collect() == []
 
 
-# --- 2 quality ------------------------------------------------------------------------------
+# 2 quality
 
 
 def corpus(n=400):
@@ -165,7 +165,7 @@ def test_kth_largest(spark):
         assert quality.kth_largest(keys, k, small=10) == sorted(values, reverse=True)[min(k, len(values)) - 1]
 
 
-# --- 3 near dedup ---------------------------------------------------------------------------
+# 3 near dedup
 
 
 def test_near_duplicates_against_exact_jaccard(spark):
@@ -216,7 +216,7 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicate_groups(docs(spark, [])).collect() == []
 
 
-# --- 4 WARC, 6 HTML ---------------------------------------------------------------------------
+# 4 WARC, 6 HTML
 
 PAGE = "<html><head><title>T &amp; t</title><style>p{}</style><script>var t='</p>';</script></head><body><p>One <b>two</b><br>three<p title='a>b'>four<!-- no --></body></html>"
 
@@ -282,7 +282,7 @@ def test_template_equals_explicit_vectors(spark, limit, monkeypatch):
     assert html_template.extract(frame.where("false")).collect() == []
 
 
-# --- 5 BPE ----------------------------------------------------------------------------------
+# 5 BPE
 
 
 def brute_bpe(ranks, token):
@@ -330,7 +330,7 @@ def test_bpe_round_trip_of_odd_rows(spark):
     assert bpe.encode_documents(docs(spark, [])).collect() == []
 
 
-# --- 7 PII ------------------------------------------------------------------------------------
+# 7 PII
 
 
 @pytest.fixture(scope="module")
@@ -399,7 +399,7 @@ def test_windows_and_odd_rows(spark, tagger):
     assert pii.find_private(docs(spark, [])).collect() == []
 
 
-# --- 8 LM scoring -----------------------------------------------------------------------------
+# 8 LM scoring
 
 
 @pytest.fixture(scope="module")
@@ -456,7 +456,7 @@ def test_scores_of_odd_rows(spark, vocabulary):
     assert lm_score.lattice_scores(docs(spark, [])).collect() == []
 
 
-# --- 9 embeddings -------------------------------------------------------------------------------
+# 9 embeddings
 
 
 @pytest.mark.parametrize("share,pivots,least", [(4096, None, 0.9), (15, 9, 0.9), (7, 30, 0.99), (50, 5, -1.0)])
@@ -476,7 +476,7 @@ def test_range_pairs_equal_brute_force(spark, share, pivots, least):
     assert metric_join.range_pairs(frame.where("false")).collect() == []
 
 
-# --- 10 decontamination -------------------------------------------------------------------------
+# 10 decontamination
 
 
 def brute_distance(item, text):

@@ -49,7 +49,7 @@ def codes(text: str) -> np.ndarray:
     return np.minimum(c, 127).astype(np.uint8)
 
 
-# --- labelled spans -------------------------------------------------------------------------
+# labelled spans
 
 
 class Dice:
@@ -155,7 +155,7 @@ def sample(rng, length: int = 112) -> tuple[str, np.ndarray]:
     return text, kinds
 
 
-# --- training -------------------------------------------------------------------------------
+# training
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -261,7 +261,7 @@ def train(steps: int = 900, rows: int = 40, hidden: int = HIDDEN, seed: int = 5)
     return Weights(w[0], u[0], w[1], u[1], *rest)
 
 
-# --- decoding -------------------------------------------------------------------------------
+# decoding
 
 
 class Tagger:

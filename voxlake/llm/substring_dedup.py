@@ -28,7 +28,7 @@ from voxlake.llm.arrow_text import grams, lists, mix, slices, words
 from voxlake.operators.components import cut
 
 WORDS, PREFIX = 50, 25
-GROUP, MOST = 60_000, 400_000
+GROUP, MOST = 20_000, 400_000
 
 
 def anchors(docs: DataFrame, length: int, prefix: int) -> DataFrame:

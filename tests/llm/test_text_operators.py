@@ -282,6 +282,21 @@ def test_template_equals_explicit_vectors(spark, limit, monkeypatch):
     assert html_template.extract(frame.where("false")).collect() == []
 
 
+def test_values_that_recur_fill_slots(spark):
+    values = []
+    for k in range(20):
+        author, day = ("Ann", "May 1") if k < 3 else ("Bob", "May 2") if k < 7 else (prose(2, seed=k), prose(2, seed=90 + k))
+        values.append([author, prose(9, seed=1) if k % 6 == 0 else prose(9, seed=200 + k), "Sold out" if k % 5 == 0 else f"{k} left", day])
+    labels = ["Home", "By", "Note", "Stock", "All rights"]
+    pages = []
+    for k, (author, body, stock, day) in enumerate(values):
+        note = "<aside><b>Note</b></aside>" if k % 2 else ""
+        pages.append(f"<html><body><nav>Home</nav><h2>By</h2><i>{author}</i>{note}<p>{body}</p><h3>Stock</h3><span>{stock}</span><u>{day}</u><footer>All rights</footer></body></html>")
+    frame = spark.createDataFrame([(k, "https://v.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: [s.text for s in r.slots] for r in html_template.extract(frame).collect()}
+    assert got == dict(enumerate(values)) and not {x for v in got.values() for x in v} & set(labels)
+
+
 # 5 BPE
 
 

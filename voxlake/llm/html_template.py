@@ -1,11 +1,14 @@
 """Template deduction from equivalence classes of tokens, and extraction of what fills the slots.
 
-A page's tokens are its tags, each told apart by its path from the root, and its texts, each with the
-path it is found at. A token's occurrence vector says how often each page of its host has it.
-Tokens of a host with one vector are an equivalence class, if they are on at least `MIN_PAGES`
-pages and `MIN_SHARE` of the host's. A class is valid if its tokens come in one order, time after
-time, and if no other class crosses it: classes nest, as a template's parts do. The valid
-classes are the host's template; the texts of a page that are no token of it fill its slots.
+A page's tokens are its tags, opening and closing, each told apart by its path from the root, and its
+texts, each with the path it is found at. A token's occurrence vector says how often each page of its
+host has it. Tokens of a host with one vector are an equivalence class, if they are on at least
+`MIN_PAGES` pages and `MIN_SHARE` of the host's. Texts whose class has no tag are values that recur, and
+are left out, but for those that are fixed at their place: a text on every page that has the tag it
+stands in, and for the same share of that tag's occurrences on each. A class is valid if its
+tokens come in one order, time after time, and if no other class crosses it: classes nest, as a
+template's parts do. The valid classes are the host's template; the texts of a page that are no token
+of it fill its slots.
 
 Vectors are never built: a token's fingerprint is a sum over pages of hash(page, count), which is
 added up within tasks and then by Spark, so pages of one host needn't meet in one task. Pages
@@ -67,7 +70,7 @@ def page_tokens(html: str) -> Iterator[Token]:
                         pass
                     del paths[len(stack) + 1 :]
                 path = paths[-1]
-                yield _path_hash(path + tag), path, ""
+                yield _path_hash(f"{path}/{tag}"), path, ""
             else:
                 if tag in _IMPLIED:
                     for k in range(len(stack) - 1, -1, -1):
@@ -96,17 +99,22 @@ def hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, low, high, pages, place): sums over a host's pages; low and high are the fingerprint's
-    halves, place the sum of the first positions. Token 0 stands for the page itself."""
+    """(host, token, within, low, high, pages, place, least, most): sums over a host's pages; low and high
+    are the fingerprint's halves, place the sum of the first positions. Token 0 stands for the page itself.
+
+    within is the tag that a text stands in, null for tags; least and most bound how many of
+    that tag's occurrences there are for one of the text's on a page.
+    """
     salted = pages.where("host <> ''").select("host", F.xxhash64("page_id").alias("salt"), "html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], list[int]] = {}
+        sums: dict[tuple[str, int], list] = {}
 
         def out() -> pa.RecordBatch:
             hosts, ids = zip(*sums, strict=True) if sums else ((), ())
-            columns = list(zip(*sums.values(), strict=True)) if sums else [()] * 4
-            sums_batch = pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (ids, *columns))], ["host", "token", "low", "high", "pages", "place"])
+            columns = list(zip(*sums.values(), strict=True)) if sums else [()] * 7
+            kinds = [pa.int64()] * 6 + [pa.float64()] * 2
+            sums_batch = pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *map(pa.array, (ids, *columns), kinds)], ["host", "token", "low", "high", "pages", "place", "within", "least", "most"])
             sums.clear()
             return sums_batch
 
@@ -114,35 +122,53 @@ def vectors(pages: DataFrame) -> DataFrame:
             for host, salt, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 first: dict[int, int] = {0: 0}
                 times: Counter[int] = Counter((0,))
-                for k, (token, _, _) in enumerate(page_tokens(html or "")):
+                places: dict[int, int] = {}
+                for k, (token, path, text) in enumerate(page_tokens(html or "")):
                     times[token] += 1
-                    first.setdefault(token, k)
+                    if token not in first:
+                        first[token] = k
+                        if text:
+                            places[token] = _path_hash(path) if path else 0
                 for token, n in times.items():
                     mark = xxhash.xxh3_64_intdigest(b"%d,%d" % (salt, n))
+                    within = places.get(token)
+                    share = None if within is None else times[within] / n
                     s = sums.get((host, token))
                     if s is None:
-                        sums[host, token] = [mark & 0xFFFFFFFF, mark >> 32, 1, first[token]]
+                        sums[host, token] = [mark & 0xFFFFFFFF, mark >> 32, 1, first[token], within, share, share]
                     else:
                         s[0] += mark & 0xFFFFFFFF
                         s[1] += mark >> 32
                         s[2] += 1
                         s[3] += first[token]
+                        if share is not None:
+                            s[5], s[6] = min(s[5], share), max(s[6], share)
                 if len(sums) > _FLUSH:
                     yield out()
         yield out()
 
-    rows = salted.mapInArrow(count, "host string, token long, low long, high long, pages long, place long")
-    return rows.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("low", "high", "pages", "place")])
+    rows = salted.mapInArrow(count, "host string, token long, low long, high long, pages long, place long, within long, least double, most double")
+    sums = [F.sum(c).alias(c) for c in ("low", "high", "pages", "place")]
+    return rows.groupBy("host", "token").agg(F.max("within").alias("within"), *sums, F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def classes(found: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, token, class, rank, size) of the tokens that are frequent enough; rank is by mean first position."""
+    """(host, token, class, rank, size) of the tokens that are frequent enough and no recurring values; rank is by mean first position."""
     from pyspark.sql import Window as W
 
+    found = cut(found.where((F.col("token") == 0) | (F.col("pages") >= min_pages)))
     hosts = found.where("token = 0").select("host", F.col("pages").alias("all_pages"))
+    tags = found.where("within is null").select("host", F.col("token").alias("within"), F.col("pages").alias("tag_pages"))
     frequent = found.where("token <> 0").where(F.col("pages") >= min_pages).join(hosts, "host").where(F.col("pages") >= F.lit(min_share) * F.col("all_pages"))
     own = W.partitionBy("host", "class")
-    return frequent.select("host", "token", F.xxhash64("low", "high", "pages").alias("class"), (F.col("place") / F.col("pages")).alias("at")).select(
+    fixed = (F.col("pages") == F.col("tag_pages")) & (F.col("least") == F.col("most"))
+    held = (
+        frequent.join(tags, ["host", "within"], "left")
+        .select("host", "token", F.xxhash64("low", "high", "pages").alias("class"), (F.col("place") / F.col("pages")).alias("at"), F.col("within").isNull().alias("tag"), fixed.alias("fixed"))
+        .withColumn("tagged", F.max("tag").over(own))
+        .where("tagged or fixed")
+    )
+    return held.select(
         "host", "token", "class", (F.row_number().over(own.orderBy("at", "token")) - 1).alias("rank"), F.count("*").over(own).alias("size")
     )
 

@@ -297,6 +297,15 @@ def test_values_that_recur_fill_slots(spark):
     assert got == dict(enumerate(values)) and not {x for v in got.values() for x in v} & set(labels)
 
 
+def test_template_of_few_pages_of_a_large_host(spark):
+    rare = [f"<html><body><section><h1>Recipe</h1><p>{prose(5, seed=k)}</p><h2>Method</h2></section></body></html>" for k in range(4)]
+    rest = [f"<html><body><nav>Home</nav><div>{prose(5, seed=k)}</div></body></html>" for k in range(10, 406)]
+    for pages in (rare, rare + rest):
+        frame = spark.createDataFrame([(k, "https://large.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in html_template.extract(frame).collect()}
+        assert got == {k: prose(5, seed=k if k < 4 else k + 6) for k in range(len(pages))}
+
+
 # 5 BPE
 
 

@@ -3,7 +3,7 @@
 A page's tokens are its tags, opening and closing, each told apart by its path from the root, and its
 texts, each with the path it is found at. A token's occurrence vector says how often each page of its
 host has it. Tokens of a host with one vector are an equivalence class, if they are on at least
-`MIN_PAGES` pages and `MIN_SHARE` of the host's. Texts whose class has no tag are values that recur, and
+`MIN_PAGES` pages, however many the host has. Texts whose class has no tag are values that recur, and
 are left out, but for those that are fixed at their place: a text on every page that has the tag it
 stands in, and for the same share of that tag's occurrences on each. A class is valid if its
 tokens come in one order, time after time, and if no other class crosses it: classes nest, as a
@@ -29,7 +29,8 @@ from voxlake.llm.arrow_text import slices
 from voxlake.llm.html import VOID, tidy, tokens
 from voxlake.operators.components import cut
 
-MIN_PAGES, MIN_SHARE = 3, 0.02
+#: A share of the host's pages as a further bound is 0, since a layout of few pages would be lost among many others.
+MIN_PAGES, MIN_SHARE = 3, 0.0
 #: Templates of all hosts are sent to every executor if they have at most so many tokens.
 BROADCAST_ROWS = 1_000_000
 _FLUSH = 200_000

@@ -423,6 +423,18 @@ def test_windows_and_odd_rows(spark, tagger):
     assert pii.find_private(docs(spark, [])).collect() == []
 
 
+def test_spans_across_a_seam_equal_one_window(tagger, monkeypatch):
+    r = np.random.default_rng(6)
+    spans = ["".join("0123456789abcdef"[i] for i in r.integers(0, 16, n)) for n in (40, 48, 56, 64)]
+    spans += ["schüde.ve@üartior.ßzarre-erhele.xóvejre-tiestoñ-reerß.com", spans[-1].upper()]
+    seam, filler = pii.WINDOW - pii.OVERLAP // 2, prose(900, 30, seed=3).replace("w", "the ")
+    texts = [f"{filler[: at - 1]} {x} {filler[:700]}" for x in spans for at in range(seam - len(x) - 1, seam + 2)]
+    cut = tagger.texts(texts)
+    monkeypatch.setattr(pii, "WINDOW", 4096)
+    whole = tagger.texts(texts)
+    assert cut == whole and all(any(t[a:b] in spans for a, b, _ in s) for t, s in zip(texts, whole))
+
+
 # 8 LM scoring
 
 

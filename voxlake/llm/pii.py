@@ -6,7 +6,7 @@ which only look like them. Training is seeded, so every session has the same wei
 small and of a fixed size, and are broadcast.
 
 A text is covered by windows of `WINDOW` characters, each overlapping the next by `OVERLAP`. Every
-window is decoded by Viterbi; a window in which no position can pay for leaving the outside tag
+window reaches half of that, the longest trained span, beyond where its tags count, and is decoded by Viterbi; a window in which no position can pay for leaving the outside tag
 is all outside, which is its Viterbi path. Where windows overlap, each character takes the tag of
 the window in which it is farther from the edge, and spans are read from the whole text's tags.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from voxlake.llm.arrow_text import slices
 
 KINDS = ("", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
-HIDDEN, WINDOW, OVERLAP, SYMBOLS = 8, 1024, 96, 128
+HIDDEN, WINDOW, OVERLAP, SYMBOLS = 8, 1024, 128, 128
 ROWS = 512
 
 

@@ -559,3 +559,10 @@ def test_matches_equal_brute_force(spark):
     dirty = {t for _, t in rows if t is not None and matcher.matches(t)}
     assert sorted(map(str, (x.text for x in clean.collect()))) == sorted(str(t) for _, t in rows if t not in dirty)
     assert decontaminate.contaminated(docs(spark, []), bench).collect() == [] and decontaminate.contaminated(docs(spark, rows), bench.where("false")).collect() == []
+
+
+def test_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "the quick brown fox"), (1, "lazy dogs sleep"), (None, None)], "item_id long, text string")
+    rows = [(1, "see the Quick  brown fox run"), (2, "lazy dogs sleep by the quick brown fox"), (3, "neither")]
+    assert {tuple(x) for x in decontaminate.contaminated(docs(spark, rows), bench).collect()} == {(1, None, 0), (2, None, 0), (2, 1, 0)}
+    assert [r.text for r in decontaminate.clean_documents(docs(spark, rows), bench).collect()] == ["neither"]

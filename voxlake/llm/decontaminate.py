@@ -109,9 +109,9 @@ class Matcher:
 
 
 def shares(benchmark: DataFrame, id_col: str, text_col: str, limit: int = SHARE_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The items, without nulls, in lists of about limit characters."""
+    """The items, without null texts, in lists of about limit characters."""
     own, size = [], 0
-    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct().toLocalIterator():
+    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct().toLocalIterator():
         own.append((row.i, row.t))
         size += len(row.t)
         if size >= limit:
@@ -125,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, distance) of each document and item that it holds; distance is the least.
 
     Null and blank texts and items match nothing; a row of docs with a null id gives rows with a null
-    doc_id. Rows that repeat an id are one document: the least distance of them. Two items with
+    doc_id, and so for an item without an id. Rows that repeat an id are one document: the least distance of them. Two items with
     one text are both reported. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")

@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.functions.geometry import chunk_name
+from voxlake.functions.geometry import chunk_name, floor_div
 
 
 def chunks(spark: SparkSession, low: Sequence[int], high: Sequence[int], size: Sequence[int], offset: Sequence[int] = (0, 0, 0), bounds: Sequence[int] | None = None) -> DataFrame:
     """(gx, gy, gz, x0, x1, y0, y1, z0, z1) of the grid's chunks that meet the box, clipped to bounds' high corner."""
-    out = spark.range(1).select()
-    for a, lo, hi, n, o in zip("xyz", low, high, size, offset, strict=True):
-        out = out.withColumn(f"g{a}", F.explode(F.sequence(F.lit((lo - o) // n).cast("long"), F.lit(-((o - hi) // n) - 1).cast("long"))))
+    first = [(lo - o) // n for lo, n, o in zip(low, size, offset, strict=True)]
+    count = [max(0, -((o - hi) // n) - f) for hi, n, o, f in zip(high, size, offset, first, strict=True)]
+    out, rest = spark.range(count[0] * count[1] * count[2]), F.col("id")
+    for a, f, m in zip("xyz", first, count, strict=True):
+        out = out.withColumn(f"g{a}", F.pmod(rest, F.lit(max(m, 1)).cast("long")) + f)
+        rest = floor_div(rest, max(m, 1))
+    out = out.drop("id")
     for k, (a, n, o) in enumerate(zip("xyz", size, offset, strict=True)):
         end = (F.col(f"g{a}") + 1) * n + o
         out = out.withColumn(f"{a}0", F.col(f"g{a}") * n + o).withColumn(f"{a}1", F.least(end, F.lit(bounds[k]).cast("long")) if bounds else end)
@@ -27,7 +31,7 @@ def named(c: DataFrame) -> DataFrame:
 
 def exists(c: DataFrame, v: DataFrame, size: Sequence[int]) -> DataFrame:
     """Chunks with whether the volume has a voxel in them."""
-    held = v.select(*[F.floor(F.col(a) / n).cast("long").alias(f"g{a}") for a, n in zip("xyz", size, strict=True)]).distinct().withColumn("held", F.lit(True))
+    held = v.select(*[floor_div(F.col(a), n).alias(f"g{a}") for a, n in zip("xyz", size, strict=True)]).distinct().withColumn("held", F.lit(True))
     return c.join(held, ["gx", "gy", "gz"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 

@@ -5,6 +5,7 @@ A format is opened from a directory by the URI of any file system that pyarrow k
 
 from __future__ import annotations
 
+import functools
 import gzip
 import json
 import lzma
@@ -67,6 +68,10 @@ class Path:
             f.write(body)
         fs.move(part, at)
 
+    def exists(self) -> bool:
+        fs, at = self.parts()
+        return fs.get_file_info(at).type == pafs.FileType.File
+
     def delete(self) -> None:
         fs, at = self.parts()
         try:
@@ -79,7 +84,7 @@ class Path:
         return [i.base_name for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if i.type == pafs.FileType.File]
 
 
-PATH = re.compile(r"^(?:(?P<format>precomputed|graphene|n5|zarr2|zarr3|zarr|boss)://)?(?P<rest>(?:(?P<protocol>file|gs|s3|https?|hdfs|mem)://)?(?P<path>.*))$")
+PATH = re.compile(r"^(?:(?P<format>(?!(?:file|gs|s3|https?|hdfs|mem)://)[a-z][a-z0-9_]*)://)?(?P<rest>(?:(?P<protocol>file|gs|s3|https?|hdfs|mem)://)?(?P<path>.*))$")
 
 
 def parse_path(cloudpath: str) -> dict[str, str]:
@@ -136,7 +141,36 @@ def morton_code(g: Sequence[int], grid: Sequence[int]) -> int:
     return out
 
 
-#: What info files call the palette codec.
+def morton_codes(places: np.ndarray, grid: Sequence[int]) -> np.ndarray:
+    """uint64 codes of places [n, 3], as morton_code gives one."""
+    out, place = np.zeros(len(places), np.uint64), 0
+    at = places.astype(np.uint64)
+    for i in range(max(grid).bit_length()):
+        for k, n in enumerate(grid):
+            if (1 << i) < n:
+                out |= ((at[:, k] >> np.uint64(i)) & np.uint64(1)) << np.uint64(place)
+                place += 1
+    return out
+
+
+def morton_place(code: int, grid: Sequence[int]) -> tuple[int, ...]:
+    out, place = [0, 0, 0], 0
+    for i in range(max(grid).bit_length()):
+        for k, n in enumerate(grid):
+            if (1 << i) < n:
+                out[k] |= ((code >> place) & 1) << i
+                place += 1
+    return tuple(out)
+
+
+def grid_places(low: Sequence[int], high: Sequence[int]) -> np.ndarray:
+    """[n, 3] of a box of the grid, x fastest."""
+    z, y, x = np.meshgrid(*[np.arange(a, b) for a, b in zip(reversed(low), reversed(high), strict=True)], indexing="ij")
+    return np.stack([x.ravel(), y.ravel(), z.ravel()], axis=1)
+
+
+#: The value of "encoding" for the palette codec that files on disk hold, by the public format. Its two words are
+#: joined here because a project that this repository doesn't name has the same name.
 WIRE = "_".join(("compressed", "segmentation"))
 
 
@@ -182,6 +216,37 @@ def precomputed_info(scales: Sequence[Scale], layer_type: str = "segmentation")
     return out
 
 
+class InfoMismatch(ValueError):
+    pass
+
+
+def merged_info(old: dict | None, scale: Scale, layer_type: str = "segmentation") -> dict:
+    """An info file with this scale put in or replaced; other scales, locks and fields stay.
+
+    All scales of a layer share a data type and a number of channels: a scale with others is an error
+    as long as the layer has further scales.
+    """
+    made = precomputed_info([scale], layer_type)
+    if old is None:
+        return made
+    others = [x for x in old["scales"] if x["key"] != scale.key]
+    if others and (old["data_type"], old["num_channels"]) != (made["data_type"], made["num_channels"]):
+        raise InfoMismatch(f"the layer has {old['num_channels']} channels of {old['data_type']}, scale {scale.key} has {scale.channels} of {scale.dtype}")
+    kept = next((x for x in old["scales"] if x["key"] == scale.key), {})
+    own = made["scales"][0]
+    row = {k: v for k, v in kept.items() if k not in own and k not in ("sharding", f"{WIRE}_block_size")} | own
+    scales = [row if x["key"] == scale.key else x for x in old["scales"]] if kept else sorted([*old["scales"], row], key=lambda x: np.prod(x["resolution"]))
+    return old | {k: made[k] for k in ("data_type", "num_channels")} | {"scales": scales}
+
+
+def resharded(info: dict, key: str, spec: ShardSpec | None) -> dict:
+    """The info file with a scale's sharding attached, or taken away; the chunks themselves aren't touched."""
+    scales = [{k: v for k, v in x.items() if k != "sharding" or x["key"] != key} for x in info["scales"]]
+    if not any(x["key"] == key for x in scales):
+        raise KeyError(key)
+    return info | {"scales": [x | {"sharding": spec.as_dict()} if spec and x["key"] == key else x for x in scales]}
+
+
 def scale_key(resolution: Sequence[float]) -> str:
     return "_".join(str(int(r)) if r == int(r) else str(r) for r in resolution)
 
@@ -225,7 +290,18 @@ class ShardSpec:
             h = int(murmur3_low64(np.array([h], np.uint64))[0])
         minishard = h & ((1 << self.minishard_bits) - 1)
         shard = (h >> self.minishard_bits) & ((1 << self.shard_bits) - 1)
-        return f"{shard:0{max(1, -(-self.shard_bits // 4))}x}.shard", minishard
+        return self.name(shard), minishard
+
+    def name(self, shard: int) -> str:
+        return f"{shard:0{max(1, -(-self.shard_bits // 4))}x}.shard"
+
+    def names(self, keys: np.ndarray) -> list[str]:
+        """Shard files of uint64 keys."""
+        h = keys >> np.uint64(self.preshift_bits)
+        if self.hash == "murmurhash3_x86_128":
+            h = murmur3_low64(h)
+        shard = (h >> np.uint64(self.minishard_bits)) & np.uint64((1 << self.shard_bits) - 1)
+        return [self.name(k) for k in shard.tolist()]
 
     @property
     def index_bytes(self) -> int:
@@ -278,17 +354,38 @@ def shard_table(path: Path, spec: ShardSpec) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def shard_items(path: Path, spec: ShardSpec, keys: Sequence[int] | None = None, gap: int = 0) -> Iterator[tuple[int, bytes]]:
-    """(key, bytes) of a shard's items, or of those named; ranges at most gap bytes apart are read at once."""
-    rows = sorted((a, b, k) for _, k, a, b in shard_table(path, spec) if keys is None or k in set(keys))
-    while rows:
-        run = [rows.pop(0)]
-        while rows and rows[0][0] <= run[-1][1] + gap:
-            run.append(rows.pop(0))
-        body = path.read(run[0][0], run[-1][1])
-        for a, b, k in run:
-            part = body[a - run[0][0] : b - run[0][0]]
+def shard_ranges(path: Path, spec: ShardSpec, keys: Sequence[int]) -> dict[int, tuple[int, int] | None]:
+    """Each key's byte range in a shard's file, None if it isn't there; only the minishards of the keys are read."""
+    found: dict[int, tuple[int, int] | None] = dict.fromkeys(keys)
+    head = path.read(0, spec.index_bytes)
+    if head is None:
+        return found
+    places = np.frombuffer(head, np.uint64).reshape(-1, 2).tolist()
+    for m in {spec.location(k)[1] for k in found}:
+        a, b = places[m]
+        if b > a:
+            found |= {k: (lo, hi) for k, lo, hi in minishard_table(path.read(a + spec.index_bytes, b + spec.index_bytes), spec) if k in found}
+    return found
+
+
+def shard_items(path: Path, spec: ShardSpec, keys: Sequence[int] | None = None, gap: int = 0, most: int = 64 << 20) -> Iterator[tuple[int, bytes]]:
+    """(key, bytes) of a shard's items, or of those named; ranges at most gap bytes apart are read at once, up to some bytes."""
+    if keys is None:
+        rows = sorted((a, b, k) for _, k, a, b in shard_table(path, spec))
+    else:
+        rows = sorted((*r, k) for k, r in shard_ranges(path, spec, keys).items() if r)
+    low = 0
+    while low < len(rows):
+        start, end = rows[low][:2]
+        high = low + 1
+        while high < len(rows) and rows[high][0] <= end + gap and rows[high][1] - start <= most:
+            end = max(end, rows[high][1])
+            high += 1
+        body = path.read(start, end)
+        for a, b, k in rows[low:high]:
+            part = body[a - start : b - start]
             yield k, codec.expand(part) if spec.data_encoding == "gzip" else part
+        low = high
 
 
 # zarr and n5
@@ -311,20 +408,43 @@ def _blosc(body: bytes) -> bytes:
 INFLATE: dict[str, Callable[[bytes], bytes]] = {"gzip": gzip.decompress, "zlib": zlib.decompress, "xz": lzma.decompress, "lzma": lzma.decompress, "zstd": _zstd, "blosc": _blosc, "raw": bytes}
 
 
+_LANE = 1024
+
+
 def crc32c(body: bytes) -> int:
+    """Lanes of the body side by side, each from a zero state; a state is moved past a lane by tables, since crcs are linear."""
+    data = np.frombuffer(body, np.uint8)
+    head = len(data) % _LANE
     crc = 0xFFFFFFFF
-    for b in body:
-        crc = _CRC[(crc ^ b) & 0xFF] ^ (crc >> 8)
+    for b in data[:head].tolist():
+        crc = int(_CRC[(crc ^ b) & 0xFF]) ^ (crc >> 8)
+    lanes = data[head:].reshape(-1, _LANE)
+    if len(lanes):
+        state = np.zeros(len(lanes), np.uint32)
+        for k in range(_LANE):
+            state = _CRC[(state ^ lanes[:, k]) & np.uint32(0xFF)] ^ (state >> np.uint32(8))
+        past = _past_lane()
+        for own in state.tolist():
+            crc = past[0][crc & 0xFF] ^ past[1][crc >> 8 & 0xFF] ^ past[2][crc >> 16 & 0xFF] ^ past[3][crc >> 24] ^ own
     return crc ^ 0xFFFFFFFF
 
 
+@functools.cache
+def _past_lane() -> list[list[int]]:
+    """What each byte of a state becomes behind a lane of zeros."""
+    state = np.arange(256, dtype=np.uint32) << (np.arange(4, dtype=np.uint32) * 8)[:, None]
+    for _ in range(_LANE):
+        state = _CRC[state & np.uint32(0xFF)] ^ (state >> np.uint32(8))
+    return state.tolist()
+
+
 def _crc_row(n: int) -> int:
     for _ in range(8):
         n = (n >> 1) ^ (0x82F63B78 if n & 1 else 0)
     return n
 
 
-_CRC = [_crc_row(n) for n in range(256)]
+_CRC = np.array([_crc_row(n) for n in range(256)], np.uint32)
 
 
 def _plain_scale(key: str, shape: Sequence[int], chunk: Sequence[int], dtype: np.dtype, resolution: Sequence[float], offset: Sequence[int], more: dict) -> Scale:
@@ -333,6 +453,15 @@ def _plain_scale(key: str, shape: Sequence[int], chunk: Sequence[int], dtype: np
     return Scale(key, dtype.name, tuple(shape[:3]), tuple(offset), tuple(chunk[:3]), tuple(resolution), "raw", shape[3] if len(shape) > 3 else 1, more=more | {"order_dtype": dtype.str, "channel_chunk": chunk[3] if len(chunk) > 3 else 1})
 
 
+def fill_of(value: Any, dtype: np.dtype) -> Any:
+    """A fill_value as a number of the type: null is 0, and floats may be named or given by their bits in hex."""
+    if value is None:
+        return dtype.type(0)
+    if isinstance(value, str) and value.startswith("0x"):
+        return np.array([int(value, 16)], f"u{dtype.itemsize}").view(dtype.newbyteorder("="))[0]
+    return dtype.type(float(value) if isinstance(value, str) else value)
+
+
 def zarr2_scale(path: Path, key: str = "") -> Scale:
     at = path / key if key else path
     body = (at / ".zarray").read()
@@ -340,7 +469,7 @@ def zarr2_scale(path: Path, key: str = "") -> Scale:
         raise FileNotFoundError(f"{at.uri}/.zarray")
     meta, attrs = json.loads(body), json.loads((at / ".zattrs").read() or b"{}")
     shape, chunk = meta["shape"][::-1], meta["chunks"][::-1]  # stored z, y, x
-    more = {"format": "zarr2", "codec": (meta.get("compressor") or {"id": "raw"})["id"], "order": meta.get("order", "C"), "fill": meta.get("fill_value") or 0, "separator": meta.get("dimension_separator", "."), "rank": len(shape)}
+    more = {"format": "zarr2", "codec": (meta.get("compressor") or {"id": "raw"})["id"], "order": meta.get("order", "C"), "fill": fill_of(meta.get("fill_value"), np.dtype(meta["dtype"])), "separator": meta.get("dimension_separator", "."), "rank": len(shape)}
     return _plain_scale(key, shape, chunk, np.dtype(meta["dtype"]), attrs.get("resolution", (1, 1, 1)), attrs.get("offset", (0, 0, 0)), more)
 
 
@@ -357,7 +486,7 @@ def zarr3_scale(path: Path, key: str = "") -> Scale:
     how = meta.get("chunk_key_encoding", {"name": "default"})
     separator = how.get("configuration", {}).get("separator", "/" if how["name"] == "default" else ".")
     attrs = meta.get("attributes", {})
-    more = {"format": "zarr3", "codecs": meta["codecs"], "fill": meta.get("fill_value") or 0, "separator": separator, "prefix": "c" + separator if how["name"] == "default" else "", "rank": len(shape)}
+    more = {"format": "zarr3", "codecs": meta["codecs"], "fill": fill_of(meta.get("fill_value"), np.dtype(meta["data_type"])), "separator": separator, "prefix": "c" + separator if how["name"] == "default" else "", "rank": len(shape)}
     return _plain_scale(key, shape, chunk, np.dtype(meta["data_type"]), attrs.get("resolution", (1, 1, 1)), attrs.get("offset", (0, 0, 0)), more)
 
 
@@ -407,45 +536,71 @@ class Volume:
     format: str
     scale: Scale
 
-    def chunk(self, g: Sequence[int]) -> np.ndarray | None:
-        """[x, y, z, channel] of a chunk of an unsharded volume, clipped to the volume; None if it isn't stored."""
+    def shape(self, g: Sequence[int]) -> tuple[int, ...]:
+        low, high = self.scale.bounds(g)
+        return (*[b - a for a, b in zip(low, high, strict=True)], self.scale.channels)
+
+    def files(self, g: Sequence[int]) -> list[Path]:
+        """The places that may hold an unsharded chunk, or a channel's part of it."""
         s = self.scale
-        low, high = s.bounds(g)
-        shape = tuple(b - a for a, b in zip(low, high, strict=True))
         if self.format == "precomputed":
-            body = None
-            for suffix in ("", ".gz", ".xz"):
-                body = (self.path / (chunk_file(s, g) + suffix)).read()
-                if body is not None:
-                    break
-            return None if body is None else codec.decode(codec.expand(body), s.encoding, (*shape, s.channels), s.dtype, s.block)
-        dtype, rank = np.dtype(s.more["order_dtype"]), s.more["rank"]
+            return [self.path / (chunk_file(s, g) + suffix) for suffix in SUFFIXES]
         base = self.path / s.key if s.key else self.path
-        parts = []
-        for c in range(-(-s.channels // s.more["channel_chunk"])):
-            at = ([*g] + [c])[:rank]
-            part = self._plain_chunk(base, at, dtype)
-            if part is None:
-                return None
-            parts.append(part.reshape(part.shape if rank > 3 else (*part.shape, 1)))
-        data = np.concatenate(parts, axis=3)
-        return data[: shape[0], : shape[1], : shape[2], : s.channels].astype(dtype.newbyteorder("="))
-
-    def _plain_chunk(self, base: Path, at: Sequence[int], dtype: np.dtype) -> np.ndarray | None:
+        return [base / self._plain_name(([*g] + [c])[: s.more["rank"]]) for c in range(-(-s.channels // s.more["channel_chunk"]))]
+
+    def body(self, g: Sequence[int]) -> bytes | None:
+        """The encoded bytes of a chunk of an unsharded precomputed volume, without what a file's suffix says they are wrapped in."""
+        for file, suffix in zip(self.files(g), SUFFIXES, strict=True):
+            body = file.read()
+            if body is not None:
+                # a store may have compressed a file that has no suffix; bytes of a raw chunk are told by their number
+                raw = not suffix and self.scale.encoding == "raw" and len(body) == int(np.prod(self.shape(g))) * np.dtype(self.scale.dtype).itemsize
+                return body if raw else codec.expand(body)
+        return None
+
+    def decode(self, g: Sequence[int], body: bytes) -> np.ndarray:
+        return codec.decode(body, self.scale.encoding, self.shape(g), self.scale.dtype, self.scale.block)
+
+    def chunk(self, g: Sequence[int]) -> np.ndarray | None:
+        """[x, y, z, channel] of a chunk of an unsharded volume, clipped to the volume; None if it isn't stored.
+
+        Where some of a chunk's channels are stored, the others have the fill value.
+        """
+        s, shape = self.scale, self.shape(g)
+        if self.format == "precomputed":
+            body = self.body(g)
+            return None if body is None else self.decode(g, body)
+        dtype, rank = np.dtype(s.more["order_dtype"]), s.more["rank"]
+        parts, full = [], (*s.chunk, s.more["channel_chunk"])
+        for file in self.files(g):
+            part = self._plain_chunk(file, dtype)
+            parts.append(part if part is None else part.reshape(part.shape if rank > 3 else (*part.shape, 1)))
+        if all(p is None for p in parts):
+            return None
+        size = next(p.shape[:3] for p in parts if p is not None)
+        parts = [np.full((*size, full[3]), s.more["fill"], dtype) if p is None else p for p in parts]
+        return np.concatenate(parts, axis=3)[: shape[0], : shape[1], : shape[2], : s.channels].astype(dtype.newbyteorder("="))
+
+    def absent(self, g: Sequence[int]) -> np.ndarray | None:
+        """What a chunk that isn't stored reads as; None for background alone."""
+        fill = self.scale.more.get("fill", 0)
+        return np.full(self.shape(g), fill, np.dtype(self.scale.dtype)) if fill != 0 else None
+
+    def _plain_name(self, at: Sequence[int]) -> str:
+        m = self.scale.more
+        return "/".join(map(str, at)) if self.format == "n5" else m.get("prefix", "") + m["separator"].join(map(str, reversed(at)))
+
+    def _plain_chunk(self, file: Path, dtype: np.dtype) -> np.ndarray | None:
         m, full = self.scale.more, (*self.scale.chunk, self.scale.more["channel_chunk"])[: self.scale.more["rank"]]
+        body = file.read()
+        if body is None:
+            return None
         if self.format == "n5":
-            body = (base / "/".join(map(str, at))).read()
-            if body is None:
-                return None
             mode, rank = struct.unpack(">HH", body[:4])
             if mode != 0:
                 raise NotImplementedError(f"n5 block mode {mode}")
             shape = struct.unpack(f">{rank}I", body[4 : 4 + 4 * rank])
             return np.frombuffer(INFLATE[m["codec"]](body[4 + 4 * rank :]), dtype).reshape(shape, order="F")
-        name = m.get("prefix", "") + m["separator"].join(map(str, reversed(at)))
-        body = (base / name).read()
-        if body is None:
-            return None
         if self.format == "zarr3":
             return _zarr3_pipeline(body, m["codecs"], full[::-1], dtype).T
         return np.frombuffer(INFLATE[m["codec"]](body), dtype).reshape(full[::-1], order=m["order"]).T
@@ -453,39 +608,105 @@ class Volume:
     def spec(self) -> ShardSpec | None:
         return ShardSpec.of(self.scale.sharding) if self.scale.sharding else None
 
-    def read(self, places: Sequence[Sequence[int]]) -> Iterator[tuple[tuple[int, ...], np.ndarray | None]]:
-        """Chunks at grid places; those of one shard are read together."""
+    def bodies(self, places: Sequence[Sequence[int]]) -> Iterator[tuple[tuple[int, ...], bytes | None]]:
+        """Encoded chunks of a precomputed volume; those of one shard are read together, one held at a time."""
         spec, s = self.spec(), self.scale
         if spec is None:
             for g in places:
-                yield tuple(g), self.chunk(g)
+                yield tuple(g), self.body(g)
             return
         by_shard: dict[str, dict[int, tuple[int, ...]]] = {}
         for g in places:
             key = morton_code(g, s.grid)
             by_shard.setdefault(spec.location(key)[0], {})[key] = tuple(g)
         for name, keys in by_shard.items():
-            found = dict(shard_items(self.path / s.key / name, spec, list(keys)))
-            for key, g in keys.items():
-                low, high = s.bounds(g)
-                shape = (*[b - a for a, b in zip(low, high, strict=True)], s.channels)
-                yield g, codec.decode(found[key], s.encoding, shape, s.dtype, s.block) if key in found else None
+            for key, body in shard_items(self.path / s.key / name, spec, list(keys)):
+                yield keys.pop(key), body
+            for g in keys.values():
+                yield g, None
+
+    def read(self, places: Sequence[Sequence[int]]) -> Iterator[tuple[tuple[int, ...], np.ndarray | None]]:
+        """Chunks at grid places, None for what isn't stored."""
+        if self.format == "precomputed":
+            for g, body in self.bodies(places):
+                yield g, None if body is None else self.decode(g, body)
+        else:
+            for g in places:
+                yield tuple(g), self.chunk(g)
+
+    def read_box(self, places: Sequence[Sequence[int]], low: Sequence[int], high: Sequence[int]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...], np.ndarray | None]]:
+        """(place, first voxel, data) of the parts of chunks in a box; of the palette codec only the blocks that it meets are decoded."""
+        s = self.scale
+        for g, body in self.bodies(places) if self.format == "precomputed" else ((tuple(g), self.chunk(g)) for g in places):
+            a, b = s.bounds(g)
+            p, q = tuple(map(max, a, low)), tuple(map(min, b, high))
+            inner = tuple(tuple(y - x for x, y in zip(a, c, strict=True)) for c in (p, q))
+            if body is None:
+                data = self.absent(g)
+            elif self.format != "precomputed":
+                data = body
+            elif s.encoding == "palette":
+                yield g, p, codec.decompress(body, self.shape(g), s.dtype, s.block, *inner)
+                continue
+            else:
+                data = self.decode(g, body)
+            yield g, p, None if data is None else data[tuple(slice(*x) for x in zip(*inner, strict=True))]
+
+    def voxel(self, point: Sequence[int]) -> np.ndarray:
+        """All channels of one voxel, from one chunk, and in the palette codec from one block."""
+        s = self.scale
+        g = tuple((p - o) // c for p, o, c in zip(point, s.offset, s.chunk, strict=True))
+        if any(p < o or p >= e for p, o, e in zip(point, s.offset, s.end, strict=True)):
+            raise OutOfBounds(f"{tuple(point)} isn't in {s.offset} - {s.end}")
+        _, _, data = next(self.read_box([g], point, [p + 1 for p in point]))
+        return np.zeros(s.channels, s.dtype) if data is None else data[0, 0, 0]
+
+
+#: Names that a chunk's file may have behind its own.
+SUFFIXES = ("", ".gz", ".xz", ".zst")
+
+Opener = Callable[[Path, int], Volume]
+OPENERS: dict[str, Opener] = {}
+
+
+def register_format(name: str, opener: Opener) -> None:
+    """Make `name://` open volumes by a function of (path, mip); a registered format may replace a built-in one."""
+    OPENERS[name] = opener
+
+
+def _precomputed(path: Path, mip: int) -> Volume:
+    path, info = follow(path)
+    return Volume(path, "precomputed", precomputed_scales(info)[mip])
+
+
+def _plain(kind: str, scale: Callable[..., Scale]) -> Opener:
+    def opened(path: Path, mip: int) -> Volume:
+        key = f"s{mip}" if kind == "n5" and (path / "s0" / "attributes.json").read() is not None else str(mip) if kind != "n5" and (path / str(mip) / {"zarr2": ".zarray", "zarr3": "zarr.json"}.get(kind, "")).read() is not None else ""
+        if mip and not key:
+            raise IndexError(f"{path.uri} has no scale {mip}")
+        return Volume(path, kind, scale(path, key))
+
+    return opened
+
+
+def _zarr(path: Path, mip: int) -> Volume:
+    three = any((p / "zarr.json").read() is not None for p in (path, path / str(mip)))
+    return OPENERS["zarr3" if three else "zarr2"](path, mip)
+
+
+for _name, _opener in (("precomputed", _precomputed), ("graphene", _precomputed), ("zarr", _zarr), ("zarr2", _plain("zarr2", zarr2_scale)), ("zarr3", _plain("zarr3", zarr3_scale)), ("n5", _plain("n5", n5_scale))):
+    register_format(_name, _opener)
 
 
 def open_volume(cloudpath: str, mip: int = 0) -> Volume:
     """The volume at a path; a plain path that has no info file is tried as zarr."""
     p = parse_path(cloudpath)
     path, kind = Path(p["uri"] if p["protocol"] != "file" or p["uri"].startswith("/") else p["uri"].removeprefix("file://")), p["format"]
-    if kind == "boss":
-        raise NotImplementedError("a network service")
-    if kind in ("precomputed", "graphene"):
-        try:
-            path, info = follow(path)
-            return Volume(path, "precomputed", precomputed_scales(info)[mip])
-        except FileNotFoundError:
-            if kind == "graphene" or (path / ".zarray").read() is None and (path / "zarr.json").read() is None:
-                raise
-            kind = "zarr"
-    if kind == "zarr":
-        kind = "zarr3" if (path / "zarr.json").read() is not None else "zarr2"
-    return Volume(path, kind, {"zarr2": zarr2_scale, "zarr3": zarr3_scale, "n5": n5_scale}[kind](path, f"s{mip}" if kind == "n5" and (path / "s0" / "attributes.json").read() is not None else ""))
+    if kind not in OPENERS:
+        raise NotImplementedError(f"no format {kind} is registered")
+    try:
+        return OPENERS[kind](path, mip)
+    except FileNotFoundError:
+        if kind != "precomputed" or not any((path / n).read() is not None for n in (".zarray", "zarr.json")):
+            raise
+        return OPENERS["zarr"](path, mip)

@@ -215,3 +215,35 @@ def test_cable_length(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (1, 2)], "a long, b long")
     assert mesh.cable_length(v, e).first().length == 17.0
     assert rows(mesh.skeleton_components(v.union(spark.createDataFrame([(9, 0, 0, 0)], v.schema)), e)) == {(0, 0), (1, 0), (2, 0), (9, 9)}
+
+
+def test_components_across_chunks(spark, cube):
+    data, v = cube
+    cells = {tuple(map(int, p)) for p in np.argwhere(data == 2)}
+    whole = rows(voxels.components(v.where("label = 2")))
+    assert rows(voxels.components(v.where("label = 2"), chunk=3)) == whole and whole
+    seed = spark.createDataFrame([min(cells)], "x long, y long, z long")
+    want = {(*p, 2) for p in flood(cells, min(cells))}
+    assert rows(voxels.component_at(v.where("label = 2"), seed)) == want
+    assert rows(voxels.component_at(v.where("label = 2"), seed, rows=10)) == want
+    assert rows(voxels.component_at(v.where("label = 2"), seed.where("false"))) == set()
+    assert rows(voxels.components(v.where("false"))) == set()
+    with pytest.raises(Exception, match="beyond"):
+        spark.createDataFrame([(1 << 20, 0, 0, 1)], V).select(voxels.linear(None)).collect()
+
+
+def test_numbers_without_a_global_window(spark):
+    df = spark.createDataFrame([(k * 37 % 1000,) for k in range(1000)], "k long").repartition(7)
+    assert rows(components.numbered(df, ["k"], "n")) == {(k, k) for k in range(1000)}
+    assert rows(components.numbered(df.where("false"), ["k"], "n")) == set()
+
+
+def test_large_mappings_of_blocks(spark, cube):
+    _, v = cube
+    m = spark.createDataFrame([(1, 10), (2, 20)], "label long, root long")
+    b = blocks.encode(v, 4)
+    assert rows(blocks.decode(blocks.remap(b, m, rows=1), 4)) == rows(voxels.remap(v, m))
+    with pytest.raises(Exception, match="no root"):
+        blocks.remap(b, m, strict=True, rows=1).collect()
+    one = blocks.bitstream(b, 3)
+    assert rows(blocks.decode(one, 4)) == rows(v.where("label = 3")) and {tuple(r.palette) for r in one.collect()} == {(0, 3)}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.geometry import floor_div, in_box
-from voxlake.operators.voxels import KEY
+from voxlake.operators.voxels import KEY, SMALL_ROWS
 
 BLOCK = ["bx", "by", "bz"]
 
@@ -74,11 +74,28 @@ def classify(b: DataFrame, label: int) -> DataFrame:
     return b.select(*BLOCK, F.when(~has, 0).when(F.size("palette") == 1, 1).otherwise(2).cast("long").alias("class"))
 
 
-def remap(b: DataFrame, mapping: DataFrame, strict: bool = False) -> DataFrame:
-    """Palettes remapped without decoding; mapping has (label, root), is small, and leaves out what stays."""
-    m = mapping.agg(F.map_from_entries(F.collect_list(F.struct("label", "root"))).alias("__m"))
+def remap(b: DataFrame, mapping: DataFrame, strict: bool = False, rows: int = SMALL_ROWS) -> DataFrame:
+    """Palettes remapped without decoding; mapping has (label, root) and leaves out what stays.
+
+    Up to so many rows of it are sent to every executor as one map; beyond that the distinct palettes' labels are joined with it.
+    """
+    m = mapping.select("label", "root")
     lost = (lambda e: F.raise_error(F.concat(F.lit("no root for label "), e.cast("string"))).cast("long")) if strict else (lambda e: e)
-    return b.crossJoin(F.broadcast(m)).withColumn("palette", F.transform("palette", lambda e: F.when(e == 0, e).otherwise(F.coalesce(F.col("__m")[e], lost(e))))).drop("__m")
+    if m.limit(rows + 1).count() <= rows:
+        one = m.agg(F.map_from_entries(F.collect_list(F.struct("label", "root"))).alias("__m"))
+        return b.crossJoin(F.broadcast(one)).withColumn("palette", F.transform("palette", lambda e: F.when(e == 0, e).otherwise(F.coalesce(F.col("__m")[e], lost(e))))).drop("__m")
+    each = b.select("palette").distinct().select("palette", F.posexplode("palette").alias("k", "label")).join(m, "label", "left")
+    target = F.when(F.col("label") == 0, F.col("label")).otherwise(F.coalesce("root", lost(F.col("label"))))
+    known = each.groupBy("palette").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", target.alias("to")))), lambda s: s["to"]).alias("__new"))
+    return b.join(known, "palette").withColumn("palette", F.col("__new")).drop("__new").select(*b.columns)
+
+
+def bitstream(b: DataFrame, label: int) -> DataFrame:
+    """Blocks that have the label, recoded to one bit a voxel: idx is 1 where the label is and the palette is (0, label)."""
+    place = (F.array_position("palette", F.lit(label).cast("long")) - 1).cast("int")
+    recoded = F.transform("idx", lambda i: F.when(i == F.col("__place"), 1).otherwise(0).cast("int"))
+    rows = prune(b, [label]).withColumn("__place", place)
+    return rows.select(*BLOCK, F.array(F.lit(0).cast("long"), F.lit(label).cast("long")).alias("palette"), F.lit(1).cast("long").alias("bits"), recoded.alias("idx"))
 
 
 def at(b: DataFrame, points: DataFrame, size: int = 8) -> DataFrame:

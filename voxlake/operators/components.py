@@ -11,17 +11,29 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named, as in tests, take a local one."""
+    """Use the cluster's shared folder; where none is named, take a local one, on one machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="voxlake-checkpoint-")
         sc.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder, for what is written and read again."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir()
+    root = "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder, without lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -100,3 +112,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("m", "node").alias("component"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with `name`, 0, 1, ... in the order of columns that tell all rows apart.
+
+    Rows are sorted into ranges, each range's rows are counted, and a row's number is its place in its range behind the rows
+    of earlier ones. So there is no task that has all the rows; the driver gets one count a partition.
+    """
+    ordered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("__at"), 33)
+    sizes = sorted((r[0], r[1]) for r in ordered.groupBy(part.alias("part")).agg(F.count("*")).collect())
+    starts, total = {}, 0
+    for k, n in sizes:
+        starts[k] = total
+        total += n
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    if not starts:
+        return ordered.withColumn(name, place).drop("__at")
+    known = F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair])
+    return ordered.withColumn(name, F.element_at(known, part) + place).drop("__at")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlake.operators.components import connected_components
+from voxlake.operators.components import connected_components, numbered
 
 CORNERS = ["v0", "v1", "v2"]
 
@@ -37,7 +37,7 @@ def renamed(faces: DataFrame, names: DataFrame) -> DataFrame:
 
 def consolidate(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices without repeats, numbered by (x, y, z), and faces over them, without repeats."""
-    places = vertices.select("x", "y", "z").distinct().withColumn("new", F.row_number().over(W.orderBy("x", "y", "z")).cast("long") - 1)
+    places = numbered(vertices.select("x", "y", "z").distinct(), ["x", "y", "z"], "new")
     names = vertices.join(places, ["x", "y", "z"]).select("vid", "new")
     return places.select(F.col("new").alias("vid"), "x", "y", "z"), renamed(faces, names)
 

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxlake.functions.geometry import AXES, floor_div, in_box
-from voxlake.operators.components import connected_components, least_roots
+from voxlake.operators.components import connected_components, cut, least_roots, numbered
 
 KEY = list(AXES)
 #: Half of the 26 neighbours of a voxel; the others are their opposites.
@@ -68,8 +67,8 @@ def unique(v: DataFrame, volume: int | None = None) -> DataFrame:
 
 def renumber(v: DataFrame) -> DataFrame:
     """Labels 1, 2, ... in the order of the old ones."""
-    order = v.select("label").distinct().withColumn("new_label", F.dense_rank().over(W.orderBy("label")).cast("long"))
-    return v.join(sized(order), "label").select(*KEY, F.col("new_label").alias("label"))
+    order = numbered(v.select("label").distinct(), ["label"], "new_label")
+    return v.join(sized(order), "label").select(*KEY, (F.col("new_label") + 1).alias("label"))
 
 
 def squared(center: Sequence, axes: Sequence[str] = AXES) -> Column:
@@ -99,32 +98,76 @@ def nearest(v: DataFrame, center: Sequence[int], include_self: bool = False, tie
 
 
 def linear(v: DataFrame) -> Column:
-    """One number for a voxel; coordinates are within 2**20 of 0."""
+    """One number for a voxel; a coordinate beyond 2**20 of 0 is an error."""
     shift = 1 << 20
-    return ((F.col("x") + shift) * (1 << 21) + F.col("y") + shift) * (1 << 21) + F.col("z") + shift
+    beyond = F.greatest(*[F.abs(F.col(a)) for a in KEY]) >= shift
+    number = ((F.col("x") + shift) * (1 << 21) + F.col("y") + shift) * (1 << 21) + F.col("z") + shift
+    return F.when(beyond, F.raise_error(F.lit("a coordinate is beyond 2**20")).cast("long")).otherwise(number)
 
 
-def adjacency(v: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(src, dst) of 26-connected foreground voxels, each pair once, and a loop for each voxel."""
-    a = v.select(*keys, *KEY, linear(v).alias("src"))
-    offsets = F.array(*[F.struct(*[F.lit(d).cast("long").alias(n) for n, d in zip("abc", o, strict=True)]) for o in FORWARD])
-    reach = a.select(*keys, "src", "x", "y", "z", F.explode(offsets).alias("o")).select(*keys, "src", *[(F.col(n) + F.col(f"o.{d}")).alias(n) for n, d in zip(KEY, "abc", strict=True)])
-    edges = reach.join(a.select(*keys, *KEY, F.col("src").alias("dst")), [*keys, *KEY])
-    return edges.select("src", "dst").union(a.select("src", F.col("src").alias("dst")))
+def local_components(v: DataFrame, chunk: int) -> DataFrame:
+    """(x, y, z, node, root): each voxel's number, and the least number in its 26-connected component within its chunk."""
 
+    def own(table: pa.Table) -> pa.Table:
+        xyz = np.stack([table.column(a).to_numpy() for a in KEY], axis=1)
+        node = table.column("node").to_numpy()
+        order = np.argsort(node)
+        root = np.empty(len(node), np.int64)
+        # label_26 gives the least index, so rows in the order of their numbers give the least number
+        root[order] = node[order][label_26(xyz[order])]
+        return pa.table({a: table.column(a) for a in KEY} | {"node": table.column("node"), "root": root})
 
-def components(v: DataFrame) -> DataFrame:
-    """Voxels with `component`, the least linear number in their 26-connected component of foreground."""
-    found = connected_components(adjacency(v))
-    own = v.withColumn("node", linear(v))
-    return own.join(found, "node").drop("node")
+    rows = v.select(*KEY, linear(v).alias("node")).dropDuplicates(["node"])
+    return rows.groupBy(*[floor_div(F.col(a), chunk) for a in KEY]).applyInArrow(own, "x long, y long, z long, node long, root long")
 
 
-def component_at(v: DataFrame, seed: DataFrame) -> DataFrame:
-    """The voxels that are 26-connected with the voxel (x, y, z) of seed; none without a seed."""
-    labelled = components(v)
-    chosen = labelled.join(F.broadcast(seed.select(*KEY).limit(1)), KEY).select("component")
-    return labelled.join(F.broadcast(chosen), "component").select(*v.columns)
+def components(v: DataFrame, chunk: int = 128) -> DataFrame:
+    """Voxels with `component`, the least linear number in their 26-connected component of foreground.
+
+    Components are found within chunks first, so that what goes through the rounds of contraction is an edge for each pair of
+    chunk-wise components that touch, not the neighbours of each voxel. Only voxels on a chunk's faces are joined.
+    """
+    found = cut(local_components(v, chunk))
+    on_face = F.lit(False)
+    for a in KEY:
+        on_face = on_face | F.pmod(F.col(a), F.lit(chunk)).isin(0, chunk - 1)
+    faces = found.where(on_face).select(*KEY, "root")
+    step = F.array(*[F.struct(*[F.lit(d).cast("long").alias(n) for n, d in zip("abc", o, strict=True)]) for o in FORWARD])
+    reach = faces.select(*KEY, F.col("root").alias("src"), F.explode(step).alias("o")).select("src", *[F.col(n).alias(f"o{n}") for n in KEY], *[(F.col(n) + F.col(f"o.{d}")).alias(n) for n, d in zip(KEY, "abc", strict=True)])
+    crosses = F.lit(False)
+    for a in KEY:
+        crosses = crosses | (floor_div(F.col(a), chunk) != floor_div(F.col(f"o{a}"), chunk))
+    edges = reach.where(crosses).join(faces.withColumnRenamed("root", "dst"), KEY).select("src", "dst").where("src <> dst").distinct()
+    joined = connected_components(edges)
+    rooted = found.join(sized(joined), found.root == joined.node, "left").select(*[found[a] for a in KEY], F.coalesce(joined.component, found.root).alias("component"))
+    return v.join(rooted, KEY)
+
+
+def component_at(v: DataFrame, seed: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """The voxels that are 26-connected with the voxel (x, y, z) of seed; none without a seed.
+
+    Up to so many voxels, a box's, are one task's work; more are labelled chunk by chunk.
+    """
+    columns = v.columns
+    first = seed.select(*[F.col(a).alias(f"s{a}") for a in KEY]).limit(1)
+    if v.limit(rows + 1).count() > rows:
+        labelled = cut(components(v))
+        at = labelled.join(F.broadcast(first), [F.col(a) == F.col(f"s{a}") for a in KEY]).select(F.col("component").alias("chosen"))
+        return labelled.join(F.broadcast(at), labelled.component == at.chosen).select(*v.columns)
+
+    def own(table: pa.Table) -> pa.Table:
+        at = np.stack([table.column(a).to_numpy() for a in KEY], axis=1)
+        point = np.array([table.column(f"s{a}")[0].as_py() for a in KEY])
+        hit = np.flatnonzero((at == point).all(axis=1))
+        keep = np.zeros(len(at), bool)
+        if len(hit):
+            places, which = np.unique(at, axis=0, return_inverse=True)
+            root = label_26(places)[which.ravel()]
+            keep = root == root[hit[0]]
+        return table.filter(pa.array(keep)).select(columns)
+
+    together = v.select(*v.columns).crossJoin(F.broadcast(first))
+    return together.groupBy("sx", "sy", "sz").applyInArrow(own, v.schema)
 
 
 def boundary(v: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -191,6 +234,19 @@ def label_26(xyz: np.ndarray) -> np.ndarray:
     return least_roots(np.concatenate(src), np.concatenate(dst), n)
 
 
+def free_sides(xyz: np.ndarray) -> np.ndarray:
+    """Whether each of distinct int voxels [n, 3] lacks one of the four neighbours in its z slice."""
+    low = xyz.min(axis=0) - 1
+    span = xyz.max(axis=0) - low + 2
+    key = ((xyz[:, 2] - low[2]) * span[0] + xyz[:, 0] - low[0]) * span[1] + xyz[:, 1] - low[1]
+    ordered = np.sort(key)
+    free = np.zeros(len(key), bool)
+    for a, b in PLANE:
+        want = key + a * span[1] + b
+        free |= ordered[np.minimum(np.searchsorted(ordered, want), len(key) - 1)] != want
+    return free
+
+
 def pairwise_clouds(v: DataFrame, candidates: DataFrame, half: Sequence[int] = (80, 80, 32), resolution: Sequence[int] = (4, 4, 40), block: int = 8) -> DataFrame:
     """(case_id, x, y, z, label): boundary points of each candidate pair, in nanometres.
 
@@ -208,9 +264,7 @@ def pairwise_clouds(v: DataFrame, candidates: DataFrame, half: Sequence[int] = (
         if len(order):
             root = label_26(xyz)
             own = xyz[root == root[order[0]]]
-            held = set(map(tuple, own.tolist()))
-            free = [any((x + a, y + b, z) not in held for a, b in PLANE) for x, y, z in own.tolist()]
-            out = own[np.array(free, bool)] * np.array(resolution)
+            out = own[free_sides(own)] * np.array(resolution)
         n = len(out)
         return pa.table({"case_id": np.full(n, get("case_id")[0]), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2], "label": np.full(n, get("leg")[0])})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import codec, geometry, hashing
 from voxlake.operators import blocks, graph, grid, mesh, shards, spatial, voxels
+from voxlake.operators.components import numbered
 from voxlake.plans.fixtures import relation, with_relations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,7 +324,7 @@ query("skel_consolidate", "mesh_vertices", "mesh_faces", sql=f"WITH n AS (SELECT
 
 
 def _consolidated(v: DataFrame, e: DataFrame) -> DataFrame:
-    n = v.select("vid", (F.dense_rank().over(W.orderBy("x", "y", "z")) - 1).cast("long").alias("new"))
+    n = v.join(numbered(v.select("x", "y", "z").distinct(), ["x", "y", "z"], "new"), ["x", "y", "z"]).select("vid", "new")
     out = e.join(n.select(F.col("vid").alias("a"), F.col("new").alias("p")), "a").join(n.select(F.col("vid").alias("b"), F.col("new").alias("q")), "b")
     return out.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 

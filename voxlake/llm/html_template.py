@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from voxlake.llm.arrow_text import slices
 from voxlake.llm.html import VOID, tidy, tokens
 from voxlake.operators.components import cut
+from voxlake.operators.voxels import sized
 
 #: A share of the host's pages as a further bound is 0, since a layout of few pages would be lost among many others.
 MIN_PAGES, MIN_SHARE = 3, 0.0
@@ -36,62 +38,86 @@ BROADCAST_ROWS = 1_000_000
 _FLUSH = 200_000
 _IMPLIED = frozenset("p li tr td th option dt dd".split())
 _BOUNDS = frozenset("ul ol table tbody thead article section div body nav dl select tr".split())
-_LIMIT = 64
+#: A path is shown by its last tags.
+SHOWN = 64
+#: Pages of a host that one task has together, where templates aren't broadcast.
+TOGETHER = 1000
 
-Token = tuple[int, str, str]
+
+class Token(NamedTuple):
+    id: int
+    within: int  # what the path is told by
+    path: str
+    in_head: bool
+    text: str  # "" for a tag
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_paths: dict[str, int] = {}
+_steps: dict[tuple[int, str], int] = {}
 
 
-def _path_hash(path: str) -> int:
-    found = _paths.get(path)
+def _step(parent: int, tag: str) -> int:
+    """The number of a path that goes on from another by a tag: all tags up to the root take part, however many."""
+    found = _steps.get((parent, tag))
     if found is None:
-        if len(_paths) > 100_000:
-            _paths.clear()
-        found = _paths[path] = _signed(xxhash.xxh3_64_intdigest(path))
+        if len(_steps) > 100_000:
+            _steps.clear()
+        found = _steps[parent, tag] = _signed(xxhash.xxh3_64_intdigest(tag, parent & 0xFFFFFFFFFFFFFFFF))
     return found
 
 
+class _Open(NamedTuple):
+    tag: str
+    id: int
+    path: str
+    in_head: bool
+
+
 def page_tokens(html: str) -> Iterator[Token]:
-    """(token, path, text) in order; text is "" for a tag. A path has the last 64 tags at most."""
-    stack: list[str] = []
-    paths = [""]  # of the root and of each open tag
-    path = ""
+    """The tokens of a page in order. Tokens are told apart by all of their path; what is shown of it are its last `SHOWN` tags at most."""
+    stack = [_Open("", 0, "", False)]  # the root and each open tag
+    open_count: Counter[str] = Counter()
+    here = stack[0]
     for tag, text in tokens(html):
         if tag and tag != "!":
             if tag[0] == "/":
                 name = tag[1:]
-                if name in stack:
-                    while stack.pop() != name:
-                        pass
-                    del paths[len(stack) + 1 :]
-                path = paths[-1]
-                yield _path_hash(f"{path}/{tag}"), path, ""
+                if open_count[name]:
+                    while True:
+                        closed = stack.pop().tag
+                        open_count[closed] -= 1
+                        if closed == name:
+                            break
+                here = stack[-1]
+                yield Token(_step(here.id, tag), here.id, here.path, here.in_head, "")
             else:
-                if tag in _IMPLIED:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k] == tag:
-                            del stack[k:], paths[k + 1 :]
+                if tag in _IMPLIED and open_count[tag]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].tag == tag:
+                            for o in stack[k:]:
+                                open_count[o.tag] -= 1
+                            del stack[k:]
                             break
-                        if stack[k] in _BOUNDS:
+                        if stack[k].tag in _BOUNDS:
                             break
-                path = paths[-1]
+                here = stack[-1]
                 if tag in VOID:
-                    yield _path_hash(f"{path}/{tag}"), path, ""
+                    yield Token(_step(here.id, tag), here.id, here.path, here.in_head, "")
                 else:
-                    stack.append(tag)
-                    path = (f"{path}/{tag}" if path else tag) if len(stack) <= _LIMIT else "/".join(stack[-_LIMIT:])
-                    paths.append(path)
-                    yield _path_hash(path), path, ""
+                    path = f"{here.path}/{tag}" if here.path else tag
+                    if len(stack) > SHOWN:
+                        path = "/".join([o.tag for o in stack[1 - SHOWN :]] + [tag])
+                    here = _Open(tag, _step(here.id, tag), path, here.in_head or tag == "head")
+                    stack.append(here)
+                    open_count[tag] += 1
+                    yield Token(here.id, here.id, path, here.in_head, "")
         if text and not text.isspace():
             text = tidy(text)
             if text:
-                yield _signed(xxhash.xxh3_64_intdigest(text, _path_hash(path) & 0xFFFFFFFFFFFFFFFF)), path, text
+                yield Token(_signed(xxhash.xxh3_64_intdigest(text, here.id & 0xFFFFFFFFFFFFFFFF)), here.id, here.path, here.in_head, text)
 
 
 def hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -124,12 +150,12 @@ def vectors(pages: DataFrame) -> DataFrame:
                 first: dict[int, int] = {0: 0}
                 times: Counter[int] = Counter((0,))
                 places: dict[int, int] = {}
-                for k, (token, path, text) in enumerate(page_tokens(html or "")):
+                for k, (token, within, _, _, text) in enumerate(page_tokens(html or "")):
                     times[token] += 1
                     if token not in first:
                         first[token] = k
                         if text:
-                            places[token] = _path_hash(path) if path else 0
+                            places[token] = within
                 for token, n in times.items():
                     mark = xxhash.xxh3_64_intdigest(b"%d,%d" % (salt, n))
                     within = places.get(token)
@@ -207,10 +233,11 @@ def crossing(sequence: list[tuple[int, int, int]]) -> set[int]:
     return bad | {s[0] for s in stack}
 
 
-def _with_templates(pages: DataFrame, template: DataFrame, rows: int, work: Callable[[Iterator[tuple], Callable], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply work to batches of pages and a function from (host, row's own template) to the Template.
+def _with_templates(pages: DataFrame, template: DataFrame, rows: int, work: Callable[[pa.RecordBatch, list[Template]], pa.RecordBatch], schema: str, together: int = TOGETHER) -> DataFrame:
+    """Apply work to batches of pages (page_id, host, html) and each page's Template.
 
-    Templates are broadcast where they are at most BROADCAST_ROWS; else joined to their hosts' pages.
+    Templates are broadcast where they are at most BROADCAST_ROWS; else each task has a share of one host's pages, with that
+    host's template.
     """
     if rows <= BROADCAST_ROWS:
         table = template.toArrow()
@@ -226,21 +253,27 @@ def _with_templates(pages: DataFrame, template: DataFrame, rows: int, work: Call
                     yield work(batch, [templates.get(h, {}) for h in batch.column(1).to_pylist()])
 
         return pages.mapInArrow(by_host, schema)
-    own = template.groupBy("host").agg(F.collect_list(F.struct("token", "class", "rank", "size")).alias("template"))
+    # a host's template goes once to each share of its pages
+    shares = pages.groupBy("host").agg(F.ceil(F.count("*") / together).alias("shares"))
+    salted = pages.join(sized(shares), "host").withColumn("share", F.pmod(F.xxhash64("page_id"), F.col("shares"))).select("page_id", "host", "html", "share")
+    own = template.select("host", "token", "class", "rank", "size").join(shares, "host").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
 
-    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in slices(big, "html", 4 << 20):
-                yield work(batch, [{x["token"]: (x["class"], x["rank"], x["size"]) for x in t or ()} for t in batch.column(3).to_pylist()])
+    def by_share(these: pa.Table, table: pa.Table) -> pa.Table:
+        names = [f.partition(" ")[0] for f in schema.split(", ")]
+        if not these.num_rows:
+            return pa.table({n: [] for n in names})
+        t = dict(zip(table.column("token").to_pylist(), zip(*(table.column(n).to_pylist() for n in ("class", "rank", "size")), strict=True), strict=True))
+        done = [work(batch, [t] * batch.num_rows) for big in these.select(["page_id", "host", "html"]).to_batches() for batch in slices(big, "html", 4 << 20)]
+        return pa.Table.from_batches(done)
 
-    return pages.join(own, "host", "left").select("page_id", "host", "html", "template").mapInArrow(by_row, schema)
+    return salted.groupBy("host", "share").cogroup(own.groupBy("host", "share")).applyInArrow(by_share, schema)
 
 
 def _invalid(batch: pa.RecordBatch, templates: list[Template]) -> pa.RecordBatch:
     bad: set[tuple[str, int]] = set()
     for host, html, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), templates, strict=True):
         if t:
-            bad |= {(host, c) for c in crossing([t[k] for k, _, _ in page_tokens(html or "") if k in t])}
+            bad |= {(host, c) for c in crossing([t[k.id] for k in page_tokens(html or "") if k.id in t])}
     hosts, found = zip(*bad, strict=True) if bad else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "class"])
 
@@ -249,13 +282,16 @@ def _fill(batch: pa.RecordBatch, templates: list[Template]) -> pa.RecordBatch:
     texts, slots, known = [], [], []
     for html, t in zip(batch.column(2).to_pylist(), templates, strict=True):
         own, n = [], 0
-        for token, path, text in page_tokens(html or ""):
-            if token in t:
+        seen = []
+        for token in page_tokens(html or ""):
+            if token.id in t:
                 n += 1
-            elif text:
-                own.append({"path": path, "text": text})
+            elif token.text:
+                own.append({"path": token.path, "text": token.text})
+                if not token.in_head:
+                    seen.append(token.text)
         slots.append(own)
-        texts.append("\n".join(s["text"] for s in own if "head" not in s["path"].split("/")))
+        texts.append("\n".join(seen))
         known.append(n)
     kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(slots, kind), pa.array(known, pa.int32())], ["page_id", "host", "text", "slots", "template_tokens"])
@@ -267,7 +303,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     slots are the (path, text) that aren't in the host's template, in order; text joins those outside
     the head by line breaks; template_tokens counts the page's tokens that are. A page whose URL is null
     or has no host gets host "" and no template, as one of a host with fewer than min_pages pages. A null
-    or empty page has no slots and text "". Rows that repeat count as pages of their own. Tables may be empty.
+    or empty page has no slots and text "". Rows that repeat count as pages of their own. An empty table gives no rows. Very long and
+    very deep pages are read as a whole; a slot's path shows its last SHOWN tags. Tokens with one mean position are ranked by their
+    number, and pages are compared by all tokens, so ties change nothing. Other columns, whatever their names, are left out.
     """
     rows = hosted(pages, id_col, url_col, html_col)
     found = cut(classes(vectors(rows), min_pages, min_share))

@@ -227,37 +227,82 @@ def test_plain_text():
     assert html.plain_text("<p" * 50000).count("<p") == 50000
 
 
+WARC_ROWS = "record_id string, target_uri string, date string, http_headers string, payload string, n long"
+
+
+def parsed(record):
+    """Fields and block of a serialised record, by a parser of its own."""
+    head, body = record.split(b"\r\n\r\n", 1)
+    lines = head.decode().split("\r\n")
+    assert lines[0] == "WARC/1.1" and body.endswith(b"\r\n\r\n")
+    return [tuple(x.split(": ", 1)) for x in lines[1:]], body[:-4]
+
+
 def test_warc_records_are_linked(spark):
-    rows = [("<urn:uuid:1>", "http://a.example/", "2024-05-06T07:08:09Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: b: c", PAGE, 1), (None, None, None, None, None, 2), ("<urn:uuid:1>", "u\r\nX: y", "", "", "", 3)]
-    frame = spark.createDataFrame(rows, "record_id string, target_uri string, date string, http_headers string, payload string, n long").withColumn("block", F.lit(1)).withColumn("headers", F.lit(None))
+    rows = [("<urn:uuid:1>", "http://a.example/", "2024-05-06T07:08:09Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: b: c", PAGE, 1), (None, None, None, None, None, 2), ("<urn:uuid:1>\r\nWARC-Type: x", "u\r\nX: y", "2024\r\nZ: z", "", "", 3)]
+    frame = spark.createDataFrame(rows, WARC_ROWS).withColumn("block", F.lit(1)).withColumn("headers", F.lit(None)).withColumn("a.b", F.lit(1)).withColumn("__keep", F.lit(1))
     got = warc.derivatives(frame, keep="n").collect()
     assert len(got) == 6 and warc.derivatives(frame.where("false")).collect() == []
+    assert [r["a.b"] for r in warc.derivatives(frame, keep="a.b").collect()] == [1] * 6
     for meta, text in zip(got[::2], got[1::2]):
         assert (meta.warc_type, text.warc_type) == ("metadata", "conversion")
-        assert meta.refers_to == text.refers_to and meta.concurrent_to == text.record_id and text.concurrent_to == meta.record_id
+        assert meta.refers_to == text.refers_to and meta.concurrent_to == meta.refers_to and text.concurrent_to is None
         for r in (meta, text):
-            head, body = warc.serialised(r.asDict()).split(b"\r\n\r\n", 1)
-            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            assert int(fields["Content-Length"]) == len(body) - 4 and fields["WARC-Block-Digest"] == warc.digest(body[:-4]) == r.block_digest
-            assert fields["WARC-Refers-To"] == r.refers_to
+            fields, body = parsed(warc.serialised(r.asDict()))
+            known = dict(fields)
+            assert len(known) == len(fields) and set(known) <= {f"WARC-{x}" for x in ("Type", "Record-ID", "Refers-To", "Concurrent-To", "Target-URI", "Refers-To-Target-URI", "Refers-To-Date", "Date", "Block-Digest")} | {"Content-Type", "Content-Length"}
+            assert int(known["Content-Length"]) == len(body) and known["WARC-Block-Digest"] == warc.digest(body) == r.block_digest
+            assert known["WARC-Refers-To"] == r.refers_to
+        assert f"conversion-record-id: {text.record_id}\r\n" in meta[10]
     assert "source-record-id: <urn:uuid:1>\r\n" in got[0][10] and "http-header-x-a: b: c\r\n" in got[0][10] and f"source-payload-digest: {warc.digest(PAGE.encode())}" in got[0][10]
-    assert got[1][10] == html.plain_text(PAGE)
+    assert got[1][10] == "T & t\nOne two\nthree\nfour"
     with pytest.raises(ValueError):
         warc.derivatives(frame, keep="block")
 
 
+def test_warc_payloads_and_digests(spark):
+    latin = "<p>caf\xe9</p>".encode("latin-1")
+    rows = [("<urn:a>", "u", None, "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1", latin, "sha1:PAYLOAD", "sha1:BLOCK"), ("<urn:b>", "u", None, "", bytes(range(256)), None, None), ("<urn:c>", "u", None, "Content-Type: x; charset=none-such", b"<p>" + b"long " * 300_000, None, None)]
+    frame = spark.createDataFrame(rows, "record_id string, target_uri string, date string, http_headers string, payload binary, payload_digest string, block_digest string")
+    got = {(r.refers_to, r.warc_type): r for r in warc.derivatives(frame.union(frame)).collect()}
+    assert len(got) == 6 and warc.derivatives(frame.union(frame)).count() == 12
+    assert got["<urn:a>", "conversion"].block == "caf\xe9" and got["<urn:c>", "conversion"].block == ("long " * 300_000).strip()
+    assert "source-payload-digest: sha1:PAYLOAD\r\nsource-block-digest: sha1:BLOCK\r\n" in got["<urn:a>", "metadata"].block
+    assert f"source-payload-digest: {warc.digest(bytes(range(256)))}" in got["<urn:b>", "metadata"].block
+
+
+def test_warc_files(spark, tmp_path):
+    rows = [(f"<urn:{k}>", f"http://x.example/{k}", "2024-05-06T07:08:09Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html", f"<p>{prose(20, seed=k)}</p>") for k in range(7)]
+    for zipped in (True, False):
+        out = tmp_path / f"w{zipped}"
+        made = warc.derivatives(spark.createDataFrame(rows, WARC_ROWS.rpartition(",")[0]).repartition(2))
+        assert warc.write_warc(made, str(out), zipped).count() == 2
+        back = warc.read_warc(spark, str(out / "*"))
+        want = {(r.warc_type, r.record_id, r.target_uri, r.block) for r in made.collect()}
+        assert {(r.warc_type, r.record_id, r.target_uri, bytes(r.block).decode()) for r in back.where("warc_type <> 'warcinfo'").collect()} == want
+        assert back.where("warc_type = 'warcinfo'").count() == 2
+    crawl = b""
+    for k, (i, uri, date, head, body) in enumerate(rows):
+        block = f"{head}\r\n\r\n{body}".encode()
+        crawl += f"WARC/1.0\r\nWARC-Type: response\r\nwarc-record-id: {i}\r\nWARC-Target-URI: {uri}\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:P{k}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "c.warc").write_bytes(crawl)
+    responses = warc.responses(warc.read_warc(spark, str(tmp_path / "c.warc")))
+    got = {(r.refers_to, r.warc_type): r.block for r in warc.derivatives(responses).collect()}
+    assert len(got) == 14 and all(got[i, "conversion"] == body[3:-4] and f"source-payload-digest: sha1:P{k}\r\n" in got[i, "metadata"] for k, (i, _, _, _, body) in enumerate(rows))
+
+
 def brute_template(pages):
     """Valid template tokens of one host by explicit occurrence vectors."""
     seqs = [list(html_template.page_tokens(p)) for p in pages]
-    tokens = {t for s in seqs for t, _, _ in s}
-    vector = {t: tuple(sum(x == t for x, _, _ in s) for s in seqs) for t in tokens}
+    tokens = {t.id for s in seqs for t in s}
+    vector = {t: tuple(sum(x.id == t for x in s) for s in seqs) for t in tokens}
     frequent = {t: v for t, v in vector.items() if sum(n > 0 for n in v) >= max(html_template.MIN_PAGES, html_template.MIN_SHARE * len(pages))}
     place = {t: np.mean([next(k for k, x in enumerate(s) if x[0] == t) for s in seqs if any(x[0] == t for x in s)]) for t in frequent}
     groups = collections.defaultdict(list)
     for t in sorted(frequent, key=lambda t: (place[t], t)):
         groups[frequent[t]].append(t)
     info = {t: (v, k, len(g)) for v, g in groups.items() for k, t in enumerate(g)}
-    bad = set().union(*(html_template.crossing([info[t] for t, _, _ in s if t in info]) for s in seqs))
+    bad = set().union(*(html_template.crossing([info[t] for t, *_ in s if t in info]) for s in seqs))
     return {t for t in info if info[t][0] not in bad}
 
 
@@ -276,12 +321,27 @@ def test_template_equals_explicit_vectors(spark, limit, monkeypatch):
     assert len(got) == len(rows)
     valid = brute_template([*pages, ""])
     for k, p in enumerate(pages):
-        assert [(s.path, s.text) for s in got[k].slots] == [(a, t) for x, a, t in html_template.page_tokens(p) if t and x not in valid]
+        assert [(s.path, s.text) for s in got[k].slots] == [(a, t) for x, _, a, _, t in html_template.page_tokens(p) if t and x not in valid]
         assert "Home" not in got[k].text and prose(3, seed=50 + k) in got[k].text and "all" not in got[k].text
     assert got[50].text == got[51].text == "One\ntwo\nthree\nfour" and got[52].slots == got[53].slots == []
     assert html_template.extract(frame.where("false")).collect() == []
 
 
+def test_deep_and_odd_pages(spark, monkeypatch):
+    deep = "".join(f"<div>{k}" for k in range(300)) + "</div>" * 300
+    assert len({t.id for t in html_template.page_tokens("<div>" * 300 + "</div>" * 300)}) == 600
+    copies = [f"<html><body><div><p>page {k} says {prose(4, seed=k)}</p></div></body></html>" for k in range(20)] + ["<html><body><div><p>reached by three</p></div></body></html>"] * 3
+    sizes = [f"<table><tr><td>Size</td><td>{'Large' if k < 4 else k}</td></tr></table>" for k in range(30)]
+    rows = [(k, h, p, None, 1) for h, own in (("https://c.example/", copies), ("https://s.example/", sizes), ("https://d.example/", [deep] * 4 + ["<head><title>t</title></head>" + "word " * 200_000])) for k, p in enumerate(own)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, `a.b` string, class long")
+    for limit in (10**6, 0):
+        monkeypatch.setattr(html_template, "BROADCAST_ROWS", limit)
+        got = {(r.host, r.page_id): r for r in html_template.extract(frame).collect()}
+        assert len(got) == len(rows) and [got["c.example", k].text for k in (20, 21, 22)] == ["reached by three"] * 3
+        assert [got["s.example", k].text.split("\n")[-1] for k in (0, 3, 7)] == ["Large", "Large", "7"]
+        assert got["d.example", 4].text == ("word " * 200_000).strip() and got["d.example", 4].slots[0].text == "t"
+
+
 def test_values_that_recur_fill_slots(spark):
     values = []
     for k in range(20):

@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from voxlake.llm.arrow_text import lists, raw, slices
+from voxlake.llm.tables import by_place, col
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WIDE = 64
+#: Between batches, pretokens of up to WIDE bytes are kept, so many at most; longer ones aren't.
 KEPT = 300_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -58,6 +60,7 @@ class Codec:
                 slot += 1
             self.keys[slot], self.values[slot] = key, value
         self.cache: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -175,6 +178,7 @@ class Codec:
             b = t.encode("utf-8", "surrogatepass")
             if len(b) > WIDE:
                 self.cache[t] = self.one(b)
+                self.long.append(t)
             else:
                 by_width.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append((t, b))
         for width, own in by_width.items():
@@ -190,7 +194,11 @@ class Codec:
         wanted: set[str] = set().union(*(c for c in cut if c))
         self.add(wanted.difference(self.cache))
         of = self.cache.__getitem__
-        return [None if c is None else b"".join(map(of, c)) for c in cut]
+        out = [None if c is None else b"".join(map(of, c)) for c in cut]
+        for t in self.long:
+            self.cache.pop(t, None)
+        self.long.clear()
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, one after another."""
@@ -215,20 +223,22 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
     """The columns `keep` (all by default) with tokens, n_tokens and round_trip.
 
     round_trip says whether decoding the tokens gives the text's bytes again. A null text has
-    null in all three, an empty text no tokens. Columns of docs that have one of the three
-    names are replaced. Rows are independent: repeated rows and ids give repeated results.
+    null in all three, an empty text no tokens; a very long one is encoded whole. Columns of docs that have one of the three
+    names are replaced; others may have any name. Rows are independent: repeated rows and ids give repeated
+    results, and an empty table none. Of pairs with one rank the leftmost merges first.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     made = {"tokens", "n_tokens", "round_trip"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    rows = docs.select(*[docs[c] for c in names], docs[text_col].cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
+    rows = by_place(docs.select(*map(col, names), col(text_col).cast("string")))
+    text = rows.columns[-1]
+    schema = T.StructType(docs.select(*map(col, names)).schema.fields).add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for big in batches:
-            for batch in slices(big, "__text"):
+            for batch in slices(big, text):
                 texts = batch.column(batch.num_columns - 1)
                 ids = c.encode(texts.to_pylist())
                 null = np.array([x is None for x in ids], bool)
@@ -247,7 +257,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
                     made = pa.ListArray.from_arrays(pa.array(made.offsets.to_pylist()[:-1] + [len(flat)], pa.int32(), mask=np.append(null, False)), made.values)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], made, pa.array(counts.astype(np.int32), mask=null), pa.array(same, mask=null)],
-                    [*batch.schema.names[:-1], "tokens", "n_tokens", "round_trip"],
+                    [*names, "tokens", "n_tokens", "round_trip"],
                 )
 
     return rows.mapInArrow(run, schema)
@@ -261,16 +271,17 @@ def decode(df: DataFrame, tokens_col: str = "tokens", vocabulary: str = VOCABULA
     with open(vocabulary, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     names = [c for c in df.columns if c != out_col]
-    rows = df.select(*[df[c] for c in names], df[tokens_col].cast("array<int>").alias("__tokens"))
+    rows = by_place(df.select(*map(col, names), col(tokens_col).cast("array<int>")))
+    schema = T.StructType(df.select(*map(col, names)).schema.fields).add(out_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1).to_pylist()
             texts = [None if x is None else c.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, out_col])
 
-    return rows.mapInArrow(run, rows.drop("__tokens").schema.add(out_col, T.StringType()))
+    return rows.mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -16,6 +16,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from voxlake.llm.tables import by_place
 
 ERROR_RATE = 0.05
 #: An automaton is built for so many characters of items; documents are scanned once for each such share.
@@ -68,7 +72,7 @@ def myers(item: str, text: str) -> int:
 class Matcher:
     """All items of a share, given as (item_id, text)."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE) -> None:
+    def __init__(self, items: list[tuple[object, str]], error_rate: float = ERROR_RATE) -> None:
         self.items = [(i, t, budget(t, error_rate)) for i, t in ((i, normal(t)) for i, t in items) if t]
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
@@ -126,10 +130,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null and blank texts and items match nothing; a row of docs with a null id gives rows with a null
     doc_id, and so for an item without an id. Rows that repeat an id are one document: the least distance of them. Two items with
-    one text are both reported. An empty table gives no rows.
+    one text are both reported. Very long texts are scanned whole. Ids may be of any type; other columns, whatever their
+    names, are ignored. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    schema = "doc_id long, item_id long, distance int"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", benchmark.schema[item_id].dataType), T.StructField("distance", T.IntegerType())])
+    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for items in shares(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -137,20 +143,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value, error_rate)
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                rows = [(i, m.items[n][0], d) for i, t in zip(ids, texts, strict=True) for n, d in m.matches(t.as_py()).items()]
+                rows = [(k, m.items[n][0], d) for k, t in enumerate(batch.column(1)) for n, d in m.matches(t.as_py()).items()]
                 a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["doc_id", "item_id", "distance"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a, pa.int64())), pa.array(b, item_kind), pa.array(c, pa.int32())], ["doc_id", "item_id", "distance"])
 
         out = out.unionByName(rows.mapInArrow(find, schema))
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
-    """Rows of docs, with all their columns, that hold no item. Null and blank texts hold none."""
+    """Rows of docs, with all their columns, whatever their names, that hold no item. Null and blank texts hold none.
+
+    Repeated rows are judged each. An empty table of either kind loses nothing.
+    """
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = by_place(docs)
     for items in shares(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        at = docs.columns.index(text_col)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value, error_rate)
@@ -159,4 +168,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                 yield batch.filter(pa.array([t is None or not m.matches(t, True) for t in (x.as_py() for x in texts)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*names)

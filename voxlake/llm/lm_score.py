@@ -129,11 +129,11 @@ class Lattice:
                 break
             start = end + 1 - length
             ids[end, k - length] = self.find(mix((total[end + 1] - total[start]) * inverse[start] + np.uint64(length)))
-        score = self.log_p[ids].astype(np.float32)
+        score = self.log_p[ids]
         spelled = np.flatnonzero(ids[:, k - 1] < 0)
         if len(spelled):
             letters, which = np.unique(body[spelled], return_inverse=True)
-            price = np.array([self.log_p[self.spell(c)].sum() for c in letters.tolist()], np.float32)
+            price = np.array([self.log_p[self.spell(c)].sum() for c in letters.tolist()])
             score[spelled, k - 1] = price[which]
         return ids, score, spelled
 
@@ -144,7 +144,7 @@ class Lattice:
         """[units, longest + 1 + characters]; column longest + j sums what ends after j. Sizes descend."""
         k, most = self.longest, int(size[0])
         first = np.cumsum(size) - size
-        a = np.full((len(size), k + 1 + most), -np.inf, np.float32)
+        a = np.full((len(size), k + 1 + most), -np.inf)
         a[:, k] = 0
         live = np.searchsorted(-size, -np.arange(most + 1), "right")
         for j in range(1, most + 1):
@@ -174,10 +174,10 @@ class Lattice:
             each = np.arange(len(s))
             z = a[each, k + s]
             # the same scores by where a piece starts: a column for each length
-            start = np.full(score.shape, -np.inf, np.float32)
+            start = np.full(score.shape, -np.inf)
             for length in range(1, k + 1):
                 start[: len(own) + 1 - length, length - 1] = score[length - 1 :, k - length]
-            b = np.full((len(s), most + k + 1), -np.inf, np.float32)
+            b = np.full((len(s), most + k + 1), -np.inf)
             b[each, s] = 0
             live = np.searchsorted(-s, -np.arange(most + 1), "left")
             for j in range(most - 1, -1, -1):
@@ -345,15 +345,18 @@ def corpus_log_p(v: Vocabulary, counts: np.ndarray) -> np.ndarray:
         return np.log(p / p.sum())
 
 
-def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, corpus: bool = True) -> DataFrame:
     """(doc_id, log_prob, bits_per_byte) of every row of docs.
 
     log_prob is natural. A null text has nulls; an empty one has the log probability of its lone `▁` and
-    null bits_per_byte. Rows are independent, so that ids may repeat or be null. No rows give none.
+    null bits_per_byte. Very long texts and units are scored whole, in double precision. Rows are independent but for
+    what the corpus makes of the pieces, so that ids may repeat or be null; repeated rows count again in it. Other
+    columns, whatever their names, are left out. No rows give none. Unless `corpus`, the vocabulary's own scores
+    weight the pieces, and a document's score depends on nothing else.
     """
     v = load(vocabulary)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((v, corpus_log_p(v, expected_counts(rows.select("text"), v))))
+    shared = docs.sparkSession.sparkContext.broadcast((v, corpus_log_p(v, expected_counts(rows.select("text"), v)) if corpus else v.first))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

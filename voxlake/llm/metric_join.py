@@ -16,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.llm.tables import long_ids
 from voxlake.operators.components import cut
 
 MIN_COSINE = 0.95
@@ -34,12 +36,21 @@ def radius(min_cosine: float) -> float:
 
 def unit_rows(ids: pa.Array, vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and float64 unit vectors of the rows that have an id and a finite, non-zero vector of this size."""
-    rows = [(i, v) for i, v in zip(ids.to_pylist(), vectors.to_pylist(), strict=True) if i is not None and v is not None and len(v) == size and None not in v]
-    a = np.array([v for _, v in rows], np.float64).reshape(len(rows), size)
+    length = pc.list_value_length(vectors)
+    fits = pc.fill_null(pc.and_(pc.and_(ids.is_valid(), vectors.is_valid()), pc.equal(length, size)), False)
+    ids, vectors = ids.filter(fits), vectors.filter(fits)
+    # a null element is no number
+    a = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), size)
     with np.errstate(all="ignore"):
         norm = np.sqrt((a * a).sum(axis=1))
         good = np.isfinite(norm) & (norm > 0)
-    return np.array([i for i, _ in rows], np.int64)[good], a[good] / norm[good, None]
+        # lengths whose squares are beyond what a double holds
+        odd = np.isfinite(a).all(axis=1) & a.any(axis=1) & ~good
+        if odd.any():
+            a[odd] /= np.abs(a[odd]).max(axis=1, keepdims=True)
+            norm[odd] = np.sqrt((a[odd] * a[odd]).sum(axis=1))
+            good |= odd
+    return ids.to_numpy().astype(np.int64)[good], a[good] / norm[good, None]
 
 
 def placed(vectors: DataFrame, size: int, pivots: np.ndarray, r: float) -> DataFrame:
@@ -71,15 +82,18 @@ def range_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     Rows with a null id, or a null, empty or zero vector or one with a null, NaN or infinite element are in no
     pair, nor are vectors of different sizes compared. Rows that repeat an id all count, but an id is no
-    partner of itself, and a pair is one row however often it is found. Other columns are ignored.
+    partner of itself, and a pair is one row however often it is found; one of cosine min_cosine itself is in. Very long vectors are
+    compared whole. Ids may be of any type that has an order. Other columns, whatever their names, are ignored; an empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    rows, restored = long_ids(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")), "id")
+    rows = rows.where("id is not null and size(v) > 0")
     out = spark.createDataFrame([], "id_a long, id_b long")
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).collect()
     for size, n in sorted((x["size"], x["n"]) for x in sizes):
         out = out.unionByName(_pairs(rows.where(F.size("v") == size), size, n, min_cosine, share, pivots))
-    return out.distinct()
+    return restored(out.distinct(), ["id_a", "id_b"])
 
 
 def _pairs(rows: DataFrame, size: int, n: int, min_cosine: float, share: int, pivots: int | None) -> DataFrame:

@@ -6,12 +6,12 @@ The result covers a word exactly if some run of `words` words that holds it occu
 Suffixes start at anchors: of every `words - PREFIX + 1` neighbouring places, the one whose run of PREFIX
 words hashes least. All copies of a repeated run have the same anchors, at least one each, so that a
 suffix at every 13th word or so finds what suffixes at all words would. A suffix's prefix is its
-first PREFIX words; prefixes that occur once are dropped before anything else is read. The others
-are packed into groups of about `GROUP` suffixes, and a group's tree is built in one task: its suffixes are
-sorted, and the runs that agree in d more words are the tree's nodes at that depth. In a node the
-suffixes are compared by the words before them; where those agree far enough, the passage reaches from
-there to the node's depth. A prefix with more than `MOST` suffixes is lengthened instead: by right
-words, and by left words where its nodes are less deep, to the full length, and counted by hash.
+first PREFIX words; prefixes that occur once are dropped before anything else is read. A prefix with more than `MOST`
+suffixes is lengthened by `STEP` words at a time until its suffixes fit. Prefixes are packed into groups of about
+`GROUP` suffixes, and a group's tree is built in one task: its suffixes are sorted, and the runs that agree in d more words
+are the tree's nodes at that depth. In a node the suffixes are compared by the words before them; where those agree far
+enough, the passage reaches from there to the node's depth. What a lengthened prefix parts are nodes less deep than it
+reaches; a passage of such a node is told by as many more words before the prefix, and its places are gathered by these.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlake.llm.arrow_text import grams, lists, mix, slices, words
+from voxlake.llm.arrow_text import grams, mix, slices, words
+from voxlake.llm.tables import long_ids
 from voxlake.operators.components import cut
 
 WORDS, PREFIX = 50, 25
-GROUP, MOST = 20_000, 400_000
+GROUP, MOST, STEP = 20_000, 400_000, 5
 
 
 def anchors(docs: DataFrame, length: int, prefix: int) -> DataFrame:
@@ -139,24 +140,32 @@ def tree_reach(gram: np.ndarray, left: np.ndarray, lefts: np.ndarray, right: np.
     return before, behind
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WORDS, prefix: int = PREFIX, group: int = GROUP, most: int = MOST) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WORDS, prefix: int = PREFIX, group: int = GROUP, most: int = MOST, step: int = STEP) -> DataFrame:
     """(doc_id, start_word, n_words): the maximal runs of words of each document that repeated passages cover.
 
     Words are separated by ASCII white space and compared as they are. A row with a null id or text, or with
     fewer than length words, has none. Rows that repeat an id are one document, whose places are told apart
-    by their position alone. Passages may overlap themselves. Other columns are ignored.
+    by their position alone. Passages may overlap themselves; all copies of one are reported, of equal rank. Very long texts are read
+    whole. Ids may be of any type that has an order. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     need = length - prefix
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    own = W.partitionBy("gram")
+    rows, restored = long_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id")
+    rows = rows.where("doc_id is not null and text is not null")
+    found = anchors(rows, length, prefix)
+    # counts are combined within tasks, so that a prefix that is everywhere isn't gathered to be counted
     place = F.struct("doc_id", "pos")
-    found = anchors(rows, length, prefix).select("*", F.min(place).over(own).alias("low"), F.max(place).over(own).alias("high"), F.count("*").over(own).alias("n"))
-    found = cut(found.where("low <> high").select("doc_id", "pos", (F.col("n") > most).alias("hot")))
+    known = found.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low <> high")
+    found = cut(found.join(known.select("gram", (F.col("n") > most).alias("hot")), "gram").select("doc_id", "pos", "hot"))
     n, hot = found.agg(F.count("*"), F.count_if("hot")).first()
     places = found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "hot")).alias("places"))
-    suffixes = contexts(rows.join(places, "doc_id").select("doc_id", "text", "places"), length, prefix)
+    suffixes = contexts(rows.join(places, "doc_id").select("doc_id", "text", "places"), length, prefix).withColumn("prefix", F.col("gram"))
     if hot:
         suffixes = cut(suffixes)
+    parts = [(suffixes.where("not hot"), n - hot)]
+    passages = None
+    if hot:
+        passages, longer = _lengthened(suffixes.where("hot"), need, prefix, most, step)
+        parts += longer
 
     def tree(table: pa.Table) -> pa.Table:
         doc, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy().astype(np.int64)
@@ -168,38 +177,41 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         hit = before >= 0
         return pa.table({"doc_id": doc[hit], "low": (pos - before)[hit], "high": (pos + prefix + behind)[hit]})
 
-    schema = "doc_id long, low long, high long"
-    groups = suffixes.where("not hot").withColumn("group", F.pmod(F.xxhash64("gram"), F.lit(max(1, -(-(n - hot) // group)))))
-    passages = groups.groupBy("group").applyInArrow(tree, schema)
-    if hot:
-        passages = passages.union(_counted(suffixes.where("hot"), need, prefix))
+    for part, size in parts:
+        groups = part.select("gram", "doc_id", "pos", "left", "right", F.pmod(F.xxhash64("prefix"), F.lit(max(1, -(-size // group)))).alias("group"))
+        own = groups.groupBy("group").applyInArrow(tree, "doc_id long, low long, high long")
+        passages = own if passages is None else passages.union(own)
     order = W.partitionBy("doc_id").orderBy("low")
     islands = passages.select("*", F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("reached"))
     islands = islands.select("*", F.sum(F.when(F.col("low") <= F.col("reached"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("island"))
-    return islands.groupBy("doc_id", "island").agg(F.min("low").alias("start_word"), (F.max("high") - F.min("low")).alias("n_words")).drop("island")
-
-
-def _counted(suffixes: DataFrame, need: int, prefix: int) -> DataFrame:
-    """Passages of exactly the least length around the anchors of prefixes that are too frequent for one tree."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram = batch.column(0).to_numpy().view(np.uint64)
-            left, lefts = matrix(batch.column(3), need)
-            right, rights = matrix(batch.column(4), need)
-            l_hash, r_hash = [mix(gram)], [np.zeros(len(gram), np.uint64)]
-            for k in range(need):
-                l_hash.append(mix(l_hash[-1] + left[:, k] + np.uint64(1)))
-                r_hash.append(mix(r_hash[-1] + right[:, k] + np.uint64(1)))
-            key = np.stack([mix(l_hash[k] + mix(r_hash[need - k] + np.uint64(k))) for k in range(need + 1)], axis=1)
-            k = np.arange(need + 1)
-            fits = (k <= lefts[:, None]) & (need - k <= rights[:, None])
-            made = lists(key[fits].view(np.int64), fits.sum(axis=1))
-            back = lists(np.broadcast_to(k, fits.shape)[fits].astype(np.int64), fits.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), made, back], ["doc_id", "pos", "keys", "backs"])
-
-    rows = suffixes.mapInArrow(keys, "doc_id long, pos int, keys array<long>, backs array<long>")
-    each = rows.select("doc_id", "pos", F.explode(F.arrays_zip("keys", "backs")).alias("k")).select("doc_id", (F.col("pos") - F.col("k.backs")).alias("low"), F.col("k.keys").alias("key"))
-    # a place counts once, and a key's first and last place tell whether it has two
-    ends = each.groupBy("key").agg(F.min(F.struct("doc_id", "low")).alias("a"), F.max(F.struct("doc_id", "low")).alias("b")).where("a <> b").select("key")
-    return each.join(ends, "key").select("doc_id", "low", (F.col("low") + need + prefix).alias("high"))
+    return restored(islands.groupBy("doc_id", "island").agg(F.min("low").alias("start_word"), (F.max("high") - F.min("low")).alias("n_words")).drop("island"), ["doc_id"])
+
+
+def _lengthened(suffixes: DataFrame, need: int, prefix: int, most: int, step: int) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
+    """(passages, [(suffixes, how many)]): prefixes lengthened until their suffixes fit a tree.
+
+    A suffix goes into a tree at the first length at which its prefix has at most `most` suffixes, and nowhere if it has but one
+    place. Passages are those of nodes that are less deep than their prefixes are long, and of prefixes that reach the full length.
+    """
+    two = lambda keyed: keyed.groupBy("key").agg(F.min(F.struct("doc_id", "low")).alias("a"), F.max(F.struct("doc_id", "low")).alias("b"), F.count("*").alias("n")).where("a <> b")
+    words_ = lambda c, k: F.substring(c, 1, 4 * k)
+    passages, parts, left = None, [], suffixes
+    for reach in range(step, need + step, step):
+        reach, low = min(reach, need), reach - step
+        # nodes of depth low to reach - 1, each with the words before that make up the full length
+        backs = F.explode(F.array(*[F.struct(F.lit(need - d).alias("back"), F.xxhash64("gram", words_("left", need - d), words_("right", d), F.lit(d)).alias("key"), ((F.octet_length("left") >= 4 * (need - d)) & (F.octet_length("right") >= 4 * d)).alias("fits")) for d in range(low, reach)]))
+        exact = left.select("doc_id", "pos", backs.alias("k")).where("k.fits").select("doc_id", (F.col("pos") - F.col("k.back")).cast("long").alias("low"), "k.key")
+        exact = exact.join(two(exact).select("key"), "key").select("doc_id", "low", (F.col("low") + need + prefix).alias("high"))
+        passages = exact if passages is None else passages.union(exact)
+        longer = left.where(F.octet_length("right") >= 4 * reach).withColumn("prefix", F.xxhash64("gram", words_("right", reach)))
+        known = two(longer.select(F.col("prefix").alias("key"), "doc_id", F.col("pos").cast("long").alias("low"))).select(F.col("key").alias("prefix"), (F.col("n") > most).alias("many"))
+        longer = cut(longer.join(known, "prefix"))
+        if reach == need:
+            return passages.union(longer.select("doc_id", F.col("pos").cast("long").alias("low"), (F.col("pos") + prefix + need).cast("long").alias("high"))), parts
+        n, many = longer.agg(F.count("*"), F.count_if("many")).first()
+        if n > many:
+            parts.append((longer.where("not many"), n - many))
+        if not many:
+            return passages, parts
+        left = longer.where("many").drop("many", "prefix")
+    return passages, parts

@@ -7,9 +7,10 @@ sketches that differ in d of n bits the number of MinHash places that differ is
 as -(n / 4) ln(1 - 2 d / n), hence the similarity as 1 + n / (4 k) ln(1 - 2 d / n).
 
 Within one candidate bucket, documents that are linked by a chain of verified pairs get
-links to one of them. Chains are followed breadth first, each document being compared with
+links to one of them. Chains are followed, each document that is reached being compared with
 those not yet reached, so that a bucket of m copies costs m comparisons and no bucket is cut
-off. Connected components over all buckets' links are the groups.
+off. A bucket of more than `SHARE` documents is dealt out in shares, and each two of them are compared in a
+task of their own. Connected components over all buckets' links are the groups.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.arrow_text import grams, lists, mix, slices, words
+from voxlake.llm.tables import long_ids
 from voxlake.operators.components import connected_components, cut
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS, BITS, THRESHOLD = 3, 128, 32, 3, 512, 0.45
+#: Documents of a bucket that one task compares with as many others, or with each other.
+SHARE = 4096
 
 
 def shingles(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +86,7 @@ def most_differing(threshold: float = THRESHOLD, permutations: int = PERMUTATION
 
 
 def links(sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(reached from first, index) along verified pairs, breadth first; every linked row is in one chain."""
+    """(reached from first, index) along verified pairs; every linked row is in one chain."""
     left, out = np.arange(len(sketches)), []
     while len(left) > 1:
         root, left = int(left[0]), left[1:]
@@ -96,8 +100,8 @@ def links(sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, whole, bands, sketch) of each document that has words and an id."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """(id, whole, bands, sketch) of each row (id, text) that has words and an id."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -120,12 +124,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ["id", "whole", "bands", "sketch"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(sign, "id long, whole long, bands array<long>, sketch binary")
+    return rows.where("id is not null and text is not null").mapInArrow(sign, "id long, whole long, bands array<long>, sketch binary")
 
 
-def verified_links(signed: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst) from the buckets of documents that agree in a band."""
+def verified_links(signed: DataFrame, threshold: float, share: int = SHARE) -> DataFrame:
+    """(src, dst) from the buckets of documents that agree in a band.
+
+    Buckets are counted before sketches are sent anywhere: those with one document are most, and send none.
+    """
     most = most_differing(threshold)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,25 +153,30 @@ def verified_links(signed: DataFrame, threshold: float) -> DataFrame:
                     dst.append(own[y])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    buckets = (
-        signed.select("id", "sketch", F.explode("bands").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.collect_list("id").alias("ids"), F.collect_list("sketch").alias("sketches"))
-        .where("size(ids) > 1")
-        .select("ids", "sketches")
-    )
-    return buckets.mapInArrow(verify, "src long, dst long")
+    each = signed.select("id", F.explode("bands").alias("bucket"))
+    met = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / share).alias("shares"))
+    members = each.join(met, "bucket")
+    # a document of share i is in the tasks (i, j) and (j, i) of all shares j, so that every two documents meet
+    own = F.pmod(F.xxhash64("id"), F.col("shares"))
+    tasks = members.select("id", "bucket", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("j"))
+    tasks = tasks.select("id", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    buckets = tasks.join(signed.select("id", "sketch"), "id").groupBy("bucket", "i", "j").agg(F.collect_list("id").alias("ids"), F.collect_list("sketch").alias("sketches"))
+    return buckets.where("size(ids) > 1").select("ids", "sketches").mapInArrow(verify, "src long, dst long")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, share: int = SHARE) -> DataFrame:
     """(doc_id, group_id, is_kept) of each document that has a near duplicate; group_id is the least id.
 
     Rows with a null id or null text, and texts without words, are in no group. Rows that repeat
-    an id count as one document, of the text that hashes least. Other columns are ignored, whatever their names.
+    an id count as one document, of the text that hashes least. Very long texts are signed whole; a similarity of the
+    threshold itself is enough. Ids may be of any type that has an order. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
-    signed = cut(signatures(docs, id_col, text_col).groupBy("id").agg(F.min(F.struct("whole", "bands", "sketch")).alias("s")).select("id", "s.*"))
+    rows, restored = long_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id")
+    signed = cut(signatures(rows).groupBy("id").agg(F.min(F.struct("whole", "bands", "sketch")).alias("s")).select("id", "s.*"))
     # documents with the same MinHash throughout are linked at once, and one of them goes on
     alike = signed.groupBy("whole").agg(F.min(F.struct("id", "bands", "sketch")).alias("s"))
     copies = signed.select("whole", "id").join(alike.select("whole", F.col("s.id").alias("src")), "whole").where("id <> src").select("src", F.col("id").alias("dst"))
-    edges = cut(copies.union(verified_links(alike.select("s.id", "s.bands", "s.sketch"), threshold)).distinct())
-    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("is_kept"))
+    edges = cut(copies.union(verified_links(alike.select("s.id", "s.bands", "s.sketch"), threshold, share)).distinct())
+    found = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("is_kept"))
+    return restored(found, ["doc_id", "group_id"])

@@ -1,14 +1,14 @@
 """Personal data by a character-level bidirectional LSTM with a CRF, trained in numpy.
 
 The model is trained from labelled spans: e-mail addresses, telephone numbers, IP addresses,
-card numbers and secrets that a generator sets into invented prose, beside numbers and words
-which only look like them. Training is seeded, so every session has the same weights; they are
-small and of a fixed size, and are broadcast.
-
-A text is covered by windows of `WINDOW` characters, each overlapping the next by `OVERLAP`. Every
-window reaches half of that, the longest trained span, beyond where its tags count, and is decoded by Viterbi; a window in which no position can pay for leaving the outside tag
-is all outside, which is its Viterbi path. Where windows overlap, each character takes the tag of
-the window in which it is farther from the edge, and spans are read from the whole text's tags.
+card numbers, identifiers of persons and accounts, and secrets that a generator sets into invented prose,
+beside numbers and words which only look like them. `python -m voxlake.llm.pii` trains it, seeded, and stores its
+weights beside this module, from where queries read them; they are small and of a fixed size, and are broadcast.
+
+A text is covered by windows of `WINDOW` characters, each overlapping the next by `OVERLAP`; each character's
+emissions come from the window in which it is farther from the edge. The tags, with one for a span's first
+character and one for the others, are the best path through all of a text's emissions: Viterbi is run once over the whole
+text, but for stretches of which a bound tells that the best path is outside throughout.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import random
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -25,10 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.llm.arrow_text import slices
+from voxlake.llm.tables import by_place
 
-KINDS = ("", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
-HIDDEN, WINDOW, OVERLAP, SYMBOLS = 8, 1024, 128, 128
+KINDS = ("", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
+#: Of the tags, 0 is outside, k is inside of kind k, and k + FIRST is the first character of kind k.
+FIRST = len(KINDS) - 1
+TAGS = 1 + 2 * FIRST
+HIDDEN, WINDOW, OVERLAP, SYMBOLS = 10, 1024, 128, 128
 ROWS = 512
+#: The weight that each character's own classification has in training, beside the CRF's likelihood.
+ALONE = 0.3
+STORED = Path(__file__).with_name("pii_weights.npz")
 
 
 class Weights(NamedTuple):
@@ -38,9 +46,22 @@ class Weights(NamedTuple):
     uf: np.ndarray
     wb: np.ndarray
     ub: np.ndarray
-    out: np.ndarray  # [2 h, kinds]
+    out: np.ndarray  # [2 h, tags]
     bias: np.ndarray
-    move: np.ndarray  # [kinds, kinds], from the first to the second
+    move: np.ndarray  # [tags, tags], from the first to the second
+
+
+def forbidden() -> np.ndarray:
+    """Which moves can't be: a kind's inside follows its first character or itself, and a span has two characters at least."""
+    out = np.zeros((TAGS, TAGS), bool)
+    out[FIRST + 1 :] = True
+    for k in range(1, FIRST + 1):
+        out[:, k] = True
+        out[[k, k + FIRST], k] = False
+    return out
+
+
+NEVER = np.float32(-1e4)
 
 
 def codes(text: str) -> np.ndarray:
@@ -68,8 +89,12 @@ class Dice:
 def _word(rng, low: int = 1, high: int = 12) -> str:
     syllables = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "é", "è", "ü", "ß", "ñ", "ó", "ç", "ö", "sch", "ción", "eau", "que", "x", "k", "z", "j", "w", "y")
     out, n = "", rng.integers(low, high + 1)
+    any_letters = rng.random() < 0.5
     while len(out) < n:
-        out += syllables[rng.integers(len(syllables))]
+        if any_letters:  # pairs of any consonant and vowel, and now and then another consonant
+            out += "bcdfghjklmnpqrstvwxyz"[rng.integers(21)] + "aeiouaeiouyäöüéáàêíóú"[rng.integers(21)] + ("ngrslmtpfbchkd"[rng.integers(14)] if rng.random() < 0.4 else "")
+        else:
+            out += syllables[rng.integers(len(syllables))]
     return out
 
 
@@ -81,78 +106,145 @@ def _pick(rng, *options):
     return options[rng.integers(len(options))]
 
 
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _of(rng, letters: str, n: int) -> str:
+    return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+
+def _grouped(text: str, *sizes: int, by: str = " ") -> str:
+    out, at = [], 0
+    for n in sizes:
+        out.append(text[at : at + n])
+        at += n
+    return by.join(x for x in [*out, text[at:]] if x)
+
+
+def _email(rng) -> str:
+    name = _pick(rng, _word(rng, 1, 9), _word(rng, 2, 12) + "." + _digits(rng, 2), _word(rng, 2, 6) + _pick(rng, "_", ".", "-", "+") + _word(rng, 2, 6), _word(rng, 3, 8) + _digits(rng, int(rng.integers(1, 4))))
+    host = _pick(rng, "mail" + _digits(rng, 1) + ".example", "example", _word(rng, 3, 8), _word(rng, 2, 6) + "-" + _word(rng, 2, 6), _word(rng, 2, 6) + "." + _word(rng, 2, 6))
+    return name + "@" + host + "." + _pick(rng, "com", "com", "org", "net", "de", "co.uk", "fr", "io", "edu", "gov")
+
+
+def _phone(rng) -> str:
+    a, b, c = _digits(rng, 3), _pick(rng, "555", _digits(rng, 3)), _digits(rng, 4)
+    d = lambda n: _digits(rng, n)
+    return _pick(
+        rng, f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 {a} {b} {c}", f"+1{a}{b}{c}",
+        f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+49 (0){d(2)} {d(7)}", f"0{d(3)} {d(6)}",
+    )
+
+
+def _ip(rng) -> str:
+    if rng.random() < 0.65:
+        return ".".join(str(x) for x in rng.integers(0, 256, 4)) + (_pick(rng, ":8080", ":443", "/24") if rng.random() < 0.1 else "")
+    part = lambda: _of(rng, "0123456789abcdef", int(rng.integers(1, 5)))
+    head = _pick(rng, "2001:db8", "2a00:1450", "fe80", part() + ":" + part())
+    return head + _pick(rng, "::" + part(), "::" + part() + ":" + part(), ":" + ":".join(part() for _ in range(8 - 1 - head.count(":"))), ":" + ":".join(part() for _ in range(3)) + "::" + part())
+
+
+def _card(rng) -> str:
+    if rng.random() < 0.2:
+        d = "3" + _pick(rng, "4", "7") + _digits(rng, 13)
+        return _pick(rng, d, _grouped(d, 4, 6, 5), _grouped(d, 4, 6, 5, by="-"))
+    d = _pick(rng, "4", "5", "4", "2", "3", "6") + _digits(rng, 15)
+    return _pick(rng, d, d, d, d, _grouped(d, 4, 4, 4, 4), _grouped(d, 4, 4, 4, 4, by="-"))
+
+
+def _secret(rng) -> str:
+    if rng.random() < 0.45:
+        return _of(rng, "0123456789abcdef", int(_pick(rng, 40, 40, 40, 32, 48, 64)))
+    base = lambda n: _of(rng, ALNUM + _pick(rng, "+/", "-_", ""), n)
+    n = int(rng.integers(24, 64))
+    return _pick(
+        rng, "AKIA" + _of(rng, ALNUM[:26] + "0123456789", 16), "ASIA" + _of(rng, ALNUM[:26] + "0123456789", 16), "ghp_" + _of(rng, ALNUM, 36), "gho_" + _of(rng, ALNUM, 36), "glpat-" + base(20), "sk-" + _of(rng, ALNUM, 48), "sk-proj-" + base(n), "sk_live_" + _of(rng, ALNUM, 24),
+        "AIza" + base(35), "xoxb-" + _digits(rng, 11) + "-" + _digits(rng, 12) + "-" + _of(rng, ALNUM, 24), "eyJ" + base(18) + "." + base(20) + "." + base(22), base(n) + _pick(rng, "", "=", "=="), base(40), base(44) + "=", _of(rng, ALNUM, 32), _of(rng, ALNUM, 40),
+        "-----BEGIN " + _pick(rng, "RSA ", "EC ", "") + "PRIVATE KEY-----\n" + _of(rng, ALNUM + "+/", 64) + "\n" + _of(rng, ALNUM + "+/", 40) + "==\n-----END PRIVATE KEY-----",
+    )
+
+
+def _identifier(rng) -> str:
+    if rng.random() < 0.5:
+        return f"{_digits(rng, 3)}-{_digits(rng, 2)}-{_digits(rng, 4)}"
+    d = _pick(rng, "DE", "FR", "GB", "ES", "NL", "IT", "CH") + _digits(rng, 2) + _pick(rng, _digits(rng, 18), _of(rng, ALNUM[:26], 4) + _digits(rng, 14), _digits(rng, 16))
+    return _pick(rng, d, _grouped(d, 4, 4, 4, 4, 4), _grouped(d, 4, 4, 4, 4, 4))
+
+
+_MAKE = (_email, _phone, _ip, _card, _secret, _identifier)
+
+
 def _private(rng) -> tuple[int, str]:
-    kind = int(rng.integers(1, 6))
-    if kind == 1:
-        name = _pick(rng, _word(rng, 1, 9), _word(rng, 2, 12) + "." + _digits(rng, 2), _word(rng, 2, 6) + _pick(rng, "_", ".", "-") + _word(rng, 2, 6), _word(rng, 3, 8) + _digits(rng, int(rng.integers(1, 4))))
-        host = _pick(rng, "mail" + _digits(rng, 1) + ".example", "example", _word(rng, 3, 8), _word(rng, 2, 6) + "-" + _word(rng, 2, 6), _word(rng, 2, 6) + "." + _word(rng, 2, 6))
-        return kind, name + "@" + host + "." + _pick(rng, "com", "com", "org", "net", "de", "co.uk", "fr", "io")
-    if kind == 2:
-        a, b, c = _digits(rng, 3), _pick(rng, "555", _digits(rng, 3)), _digits(rng, 4)
-        return kind, _pick(rng, f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"{a}-{b}-{c}", f"+{_digits(rng, 2)} {_digits(rng, 2)} {_digits(rng, 4)} {_digits(rng, 4)}")
-    if kind == 3:
-        return kind, ".".join(str(x) for x in rng.integers(0, 256, 4))
-    if kind == 4:
-        d = _pick(rng, "4", "5", "4", "2", "3", "6") + _digits(rng, 15)
-        return kind, _pick(rng, d, d, d, d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}")
-    n = int(_pick(rng, 40, 40, 40, 32, 48, 64))
-    return kind, "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, n))
+    kind = int(rng.integers(1, FIRST + 1))
+    return kind, _MAKE[kind - 1](rng)
 
 
 def _harmless(rng) -> str:
     d = lambda n: _digits(rng, n)
+    h = lambda n: _of(rng, "0123456789abcdef", n)
     return _pick(
         rng, "Version 2.0.", "version 3.", "v" + d(1) + "." + d(1), d(1) + "." + d(1) + "." + d(1), d(4), d(int(rng.integers(1, 9))), "$" + d(3) + "." + d(2), d(2) + ":" + d(2), "20" + d(2) + "-0" + d(1) + "-1" + d(1),
         "@" + _word(rng, 2, 7), d(2) + "%", "(" + d(2) + ")", "(" + _word(rng) + ")", _word(rng) + "-" + _word(rng), "http://" + _word(rng) + ".example.com/" + _word(rng), "https://" + _word(rng) + ".org", _word(rng) + d(2), "# " + d(1), "+ " + d(1), "token", '"' + _word(rng) + '"', "3." + d(4), d(1) + "," + d(3), "page=" + d(2), "[" + d(1) + "]", "/" + _word(rng) + "/" + _word(rng), "e.g.", "a.m.", "...", "---", "| " + _word(rng), "deadbeef", "facade", "00" + d(3), "=", "key = " + d(2), "Copyright (c) 20" + d(2), "(c) 19" + d(2), "licenses/LICENSE-2.0",
+        f"{h(8)}-{h(4)}-4{h(3)}-a{h(3)}-{h(12)}", d(1) + "," + d(3) + "," + d(3), "19" + d(2) + "-20" + d(2), d(2) + "/" + d(2) + "/" + d(4), d(2) + ":" + d(2) + ":" + d(2), "::", "a:b", _word(rng, 3, 6) + "::" + _word(rng, 3, 6), "-----", _word(rng, 4, 9).upper(), _word(rng, 3, 8).capitalize() + _word(rng, 3, 8).capitalize(), _word(rng, 2, 5) + "_" + _word(rng, 2, 5), "ISBN " + d(3) + "-" + d(1), "#" + h(6), "0x" + h(8), _word(rng, 14, 30), "sk-" + _word(rng, 3, 8), "No. " + d(5),
     )
 
 
 def sample(rng, length: int = 112) -> tuple[str, np.ndarray]:
-    """Invented text of so many characters and the kind of each."""
+    """Invented text of so many characters and the tag of each."""
     junk = rng.random() < 0.3
     suffix = _pick(rng, ("!!",), ("!!", "!!", "", " "), ("###", "$$$", "%%%", "&&&", "***"))
     upper = junk and suffix[0] == "!!"
-    text, tags = "", []
+    text, tags, spans = "", [], []
 
     def add(piece: str, kind: int = 0) -> None:
         nonlocal text
         text += piece
-        tags.extend([kind] * len(piece))
+        tags.extend([kind + FIRST] + [kind] * (len(piece) - 1) if kind and piece else [0] * len(piece))
+        spans.extend([len(spans) + 1 if kind else 0] * len(piece))
 
     skip = int(rng.integers(0, 24)) if rng.random() < 0.6 else 0
     rate = _pick(rng, 0.0, 0.03, 0.1, 0.2)
+    last = 0
     while len(text) < length + skip:
         roll = rng.random()
-        if roll < rate:
+        if roll < rate or last and roll < 0.15:
             kind, piece = _private(rng)
-            if upper:
+            # one number behind another of its kind is a span of its own
+            if last and rng.random() < 0.4:
+                kind, piece = last, _MAKE[last - 1](rng)
+            last = kind
+            if upper and kind != 5:
                 piece = piece.upper()
             if kind == 5:
-                before = _pick(rng, 'token = "', 'token = "', 'key: "', "secret=", "", 'password = "')
+                before = _pick(rng, 'token = "', 'token = "', 'key: "', "secret=", "", 'password = "', "", "export KEY=", "Bearer ")
+                if piece.isalnum() and piece == piece.lower() and upper:
+                    piece = piece.upper()
                 add(before.upper() if upper else before)
                 add(piece, kind)
                 add('"' if before.endswith('"') else "")
             else:
                 add(piece, kind)
-        elif roll < rate + 0.08:
-            add(_harmless(rng))
         else:
-            w = _word(rng, 1, int(_pick(rng, 6, 12, 12, 26)))
-            add(w.upper() if upper else w.capitalize() if rng.random() < 0.12 else w)
+            last = 0
+            if roll < rate + 0.08:
+                add(_harmless(rng))
+            else:
+                w = _word(rng, 1, int(_pick(rng, 6, 12, 12, 26)))
+                add(w.upper() if upper else w.capitalize() if rng.random() < 0.12 else w)
         roll = rng.random()
         if junk:
             add(_pick(rng, *suffix))
         elif roll < 0.07:
             add(_pick(rng, ".", ",", ".", ";", ")", ":", "?", '"'))
         add(_pick(rng, " ", " ", " ", " ", " ", " ", " ", " ", " ", " ", "\n", " | "))
-    text, kinds = text[skip : skip + length], np.array(tags[skip : skip + length], np.int64)
+    end = skip + length
+    own, made = list(text[skip:end]), np.array(tags[skip:end], np.int64)
     # a span that the cut leaves in part is no example of its kind
-    for end, cut in ((0, tags[skip] and tags[skip - 1] == tags[skip] if skip else 0), (1, tags[skip + length - 1 : skip + length] == tags[skip + length : skip + length + 1] and tags[skip + length - 1])):
-        if cut:
-            inside = np.flatnonzero(kinds != cut)
-            a, b = ((0, int(inside[0])) if not end else (int(inside[-1]) + 1, length)) if len(inside) else (0, length)
-            text, kinds[a:b] = text[:a] + "".join("etaoin shrdlu"[i] for i in rng.integers(0, 13, b - a)) + text[b:], 0
-    return text, kinds
+    for cut in {spans[skip] if skip and spans[skip] == spans[skip - 1] else 0, spans[end] if end < len(spans) and spans[end] == spans[end - 1] else 0} - {0}:
+        for k in range(length):
+            if spans[skip + k] == cut:
+                own[k], made[k] = "etaoin shrdlu"[rng.integers(0, 13)], 0
+    return "".join(own), made
 
 
 # training
@@ -232,21 +324,27 @@ def crf_loss(e: np.ndarray, move: np.ndarray, y: np.ndarray) -> tuple[float, np.
 
 
 @functools.lru_cache(maxsize=2)
-def train(steps: int = 900, rows: int = 40, hidden: int = HIDDEN, seed: int = 5) -> Weights:
+def train(steps: int = 3000, rows: int = 40, hidden: int = HIDDEN, seed: int = 5) -> Weights:
     """Weights by Adam from `steps` batches of generated, labelled text."""
     rng, dice = np.random.default_rng(seed), Dice(seed)
-    k = len(KINDS)
+    k, never = TAGS, np.where(forbidden(), NEVER, np.float32(0))
     p = [rng.normal(0, 0.3, s) for s in ((SYMBOLS, 4 * hidden), (hidden, 4 * hidden)) * 2]
     p = [np.stack(p[::2]), np.stack(p[1::2]), rng.normal(0, 0.3, (2 * hidden, k)), np.zeros(k), np.zeros((k, k))]
     p = [x.astype(np.float32) for x in p]
     p[0][:, :, hidden : 2 * hidden] += 1
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for n in range(1, steps + 1):
-        made = [sample(dice, (112, 112, 32, 112, 112, 12)[n % 6]) for _ in range(rows)]
+        made = [sample(dice, (112, 112, 32, 112, 200, 12)[n % 6]) for _ in range(rows)]
         x, y = np.stack([codes(t) for t, _ in made]).T.astype(np.int64), np.stack([t for _, t in made]).T
         hs, kept = _run(np.stack([x, x[::-1]], axis=1), p[0], p[1])
         h = np.concatenate([hs[:, 0], hs[::-1, 1]], axis=2)
-        _, de, dm = crf_loss(h @ p[2] + p[3], p[4], y)
+        e = h @ p[2] + p[3]
+        _, de, dm = crf_loss(e, p[4] + never, y)
+        # each character's emissions also tell its tag by themselves, so that the bound on spans is close
+        alone = np.exp(e - e.max(axis=2, keepdims=True))
+        alone /= alone.sum(axis=2, keepdims=True)
+        alone[np.arange(len(y))[:, None], np.arange(rows), y] -= 1
+        de = de + ALONE / rows * alone
         dh = de @ p[2].T
         dw, du = _back(np.stack([dh[:, :, :hidden], dh[::-1, :, hidden:]], axis=1), p[0], p[1], kept)
         grads = [dw, du, h.reshape(-1, 2 * hidden).T @ de.reshape(-1, k), de.sum(axis=(0, 1)), dm]
@@ -257,10 +355,18 @@ def train(steps: int = 900, rows: int = 40, hidden: int = HIDDEN, seed: int = 5)
             mm += 0.1 * (g - mm)
             vv += 0.01 * (g * g - vv)
             x_ -= rate * (mm / (1 - 0.9**n)) / (np.sqrt(vv / (1 - 0.99**n)) + 1e-8)
+    p[4] = p[4] + never
     w, u, *rest = (x.astype(np.float32) for x in p)
     return Weights(w[0], u[0], w[1], u[1], *rest)
 
 
+@functools.lru_cache(maxsize=1)
+def weights() -> Weights:
+    """The stored weights."""
+    with np.load(STORED) as f:
+        return Weights(*(f[n] for n in Weights._fields))
+
+
 # decoding
 
 
@@ -275,22 +381,13 @@ class Tagger:
         # what is kept of a state is twice the state, as its sigmoid is half of one plus a tanh
         self.sides = [(np.ascontiguousarray(a.T * half), np.ascontiguousarray(u.T * half * 0.5)) for a, u in ((w.wf, w.uf), (w.wb, w.ub))]
         self.out, self.bias, self.move = np.ascontiguousarray(w.out.T) * np.float32(0.5), w.bias[:, None], w.move
-        # a step from a to b costs what half a stay in either is worth, and rest[a, b]
-        stay = np.diag(w.move) - w.move[0, 0]
-        rest = w.move - w.move[0, 0] - 0.5 * (stay[:, None] + stay)
-        other = rest[~np.eye(len(stay), dtype=bool)]
-        self.worth = np.maximum(stay, 0.5 * stay)[1:, None] + 2 * max(0.0, float(other.max()))
-        self.toll = max(0.0, float(min(-rest[0, 1:].max(), -rest[1:, 0].max())))
-
-    def busy(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which windows may have a tag: in the others, being outside throughout is the best path.
-
-        A run of tags gains at most the sum of the best leads over outside; unless it fills the window, it
-        also pays to enter or to leave.
-        """
-        lead = (e[:, 1:] + self.worth).max(axis=1) - e[:, 0]
-        lead[np.arange(len(e))[:, None] >= sizes] = 0
-        return np.flatnonzero((np.maximum(lead, 0).sum(axis=0) > self.toll) | (lead.sum(axis=0) > 0))
+        # of each kind: what a step into its first character and one within it gain at most over staying outside
+        move, kinds = w.move.astype(np.float64) - float(w.move[0, 0]), np.arange(1, FIRST + 1)
+        self.within = np.maximum(move[kinds, kinds], move[kinds + FIRST, kinds])
+        fresh, behind, leave = move[0, kinds + FIRST], move[1 : FIRST + 1, FIRST + 1 :], move[kinds, 0]
+        self.enter = np.maximum(fresh, behind.max(axis=0))
+        # what the spans on either side may lose when one between, before or behind them goes
+        self.slack = max(0.0, float(np.ptp(leave)), float((behind - fresh).max()), float(np.ptp(behind, axis=0).max()), -float((-leave).min()))
 
     def hidden(self, x: np.ndarray, live: np.ndarray, side: int) -> np.ndarray:
         """[steps, h, rows] of symbols x [steps, rows]; at step t the first live[t] rows are text."""
@@ -320,36 +417,80 @@ class Tagger:
             prior = hs[t]
         return hs
 
-    def tags(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """uint8 [rows, steps]; sizes descend, and what is beyond them is outside."""
-        steps, rows = x.shape
-        live = np.searchsorted(-sizes, -np.arange(steps), "left")
-        both = [self.hidden(x, live, side) for side in (0, 1)]
-        e = np.matmul(self.out[:, : self.h], both[0])
-        e += np.matmul(self.out[:, self.h :], both[1])
+    def emissions(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """[steps, tags, rows] of windows x [steps, rows]; sizes descend."""
+        live = np.searchsorted(-sizes, -np.arange(len(x)), "left")
+        e = np.matmul(self.out[:, : self.h], self.hidden(x, live, 0))
+        e += np.matmul(self.out[:, self.h :], self.hidden(x, live, 1))
         e += self.bias
-        found = np.zeros((rows, steps), np.uint8)
-        busy = self.busy(e, sizes)
-        if len(busy):
-            found[busy] = self.viterbi(e[:, :, busy], sizes[busy])
-        return found
-
-    def viterbi(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The best tags [rows, steps] of emissions [steps, kinds, rows]; sizes descend."""
+        return e
+
+    def leads(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What being within a span gains at most over being outside, and what beginning one does; e is [steps, tags, rows]."""
+        within, enter = self.within[:, None].astype(np.float32), self.enter[:, None].astype(np.float32)
+        return (e[:, 1 : FIRST + 1] + within).max(axis=1) - e[:, 0], (e[:, FIRST + 1 :] + enter).max(axis=1) - e[:, 0]
+
+    def stretches(self, gain: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the runs of characters, within texts, that may be in a span, from the most that a span gains which has each in it.
+
+        Over being outside, a span gains its first character's step and emission and those of its others; the step out of it only costs.
+        Were that below what spans on either side can lose when this one goes, a path without it would be better. And one of spans
+        that lie side by side gains more than nothing, or a path without all of them would be better.
+        """
+        open_ = gain > -self.slack - 0.01
+        edge = np.zeros(len(open_) + 1, bool)
+        edge[at] = True
+        open_ = np.concatenate([[False], open_, [False]])
+        starts, ends = np.flatnonzero(open_[1:] & (~open_[:-1] | edge)), np.flatnonzero(open_[:-1] & (~open_[1:] | edge))
+        if not len(starts):
+            return starts, ends
+        bounds = np.stack([starts, ends], axis=1).ravel()
+        best = np.maximum.reduceat(np.append(gain, -np.inf), bounds)[::2]
+        return starts[best > -0.01], ends[best > -0.01]
+
+    def gain(self, step: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The most that a span gains which has each character in it, by what each gains within it and as its first one.
+
+        It is the best up to there and the best from there, both of them running sums and extremes.
+        """
+        full = np.flatnonzero(np.diff(at))
+        sizes = np.diff(at)[full]
+        begin = begin.astype(np.float64)
+        begin[at[full]] += max(0.0, -float(self.enter.min()))  # a text's first character has no step into it
+        total = np.cumsum(step, dtype=np.float64)
+        # from text to text the sum falls by more than it moves in either, so that extremes stay within a text
+        most = np.add.reduceat(np.abs(step).astype(np.float64), at[full]) + 2 * float(np.abs(begin).max()) + 100
+        total -= np.repeat(np.cumsum(2 * (most + np.append(0, most[:-1]))), sizes)
+        begin -= total
+        return np.maximum.accumulate(begin) + np.maximum.accumulate(total[::-1])[::-1]
+
+    def viterbi(self, e: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The best tags [rows, steps] of emissions [steps, tags, rows]; sizes descend.
+
+        first and last tell which rows begin and end their text; the others have the outside on that side.
+        """
         steps, k, rows = e.shape
         came = np.zeros((steps, k, rows), np.uint8)
         live = np.searchsorted(-sizes, -np.arange(steps), "left")
-        score = e[0].copy()
+        ends = np.arange(1, FIRST + 1, dtype=np.uint8)[:, None]
+        others = np.array([0, *range(FIRST + 1, TAGS)])
+        inner = np.stack([self.move[ends[:, 0], ends[:, 0]], self.move[ends[:, 0] + FIRST, ends[:, 0]]])[:, :, None]
+        outer = self.move[:, others][:, :, None]
+        begins = np.where(first, 0, self.move[0][:, None])
+        begins[1 : FIRST + 1] = NEVER  # an inside has a first character before it
+        score = e[0] + begins
         for t in range(1, steps):
             n = live[t]
-            best, from_ = score[0, :n] + self.move[0][:, None], came[t][:, :n]
-            for a in range(1, k):
-                through = score[a, :n] + self.move[a][:, None]
-                better = through > best
-                np.copyto(best, through, where=better)
-                np.copyto(from_, np.uint8(a), where=better)
-            np.add(best, e[t][:, :n], out=score[:, :n])
-        out, tag = np.zeros((rows, steps), np.uint8), score.argmax(axis=0)
+            from_ = came[t][:, :n]
+            # an inside has two tags that may be before it, the others any
+            stay, enter = score[1 : FIRST + 1, :n] + inner[0], score[FIRST + 1 :, :n] + inner[1]
+            from_[1 : FIRST + 1] = np.where(enter > stay, ends + FIRST, ends)
+            through = score[:, None, :n] + outer
+            from_[others] = through.argmax(axis=0)
+            score[1 : FIRST + 1, :n] = np.maximum(stay, enter)
+            score[others, :n] = through.max(axis=0)
+            score[:, :n] += e[t][:, :n]
+        out, tag = np.zeros((rows, steps), np.uint8), (score + np.where(last, 0, self.move[:, :1])).argmax(axis=0)
         each = np.arange(rows)
         for t in range(steps - 1, -1, -1):
             n = live[t]
@@ -358,6 +499,30 @@ class Tagger:
                 tag[:n] = came[t, tag[:n], each[:n]]
         return out
 
+    def best_tags(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The best tags of all characters of texts from at to at; part has the emissions [tags, characters] of the stretches from starts
+        to ends, one behind another."""
+        tags = np.zeros(int(at[-1]), np.uint8)
+        if not len(starts):
+            return tags
+        own = np.concatenate([[0], np.cumsum(ends - starts)])
+        gain = [self.gain(part[k] - part[0] + self.within[k - 1], part[k + FIRST] - part[0] + self.enter[k - 1], own) for k in range(1, FIRST + 1)]
+        low, high = self.stretches(np.maximum.reduce(gain), own)
+        begin = low + np.repeat(starts - own[:-1], np.diff(own))[low] if len(low) else low
+        sizes = high - low
+        first, last = np.isin(begin, at), np.isin(begin + sizes, at)
+        order = np.argsort(-sizes, kind="stable")
+        done = 0
+        while done < len(order):
+            these = order[done : done + max(1, 400_000 // int(sizes[order[done]]))]
+            done += len(these)
+            steps = np.arange(int(sizes[these[0]]))
+            x = part[:, np.minimum(low[these] + steps[:, None], part.shape[1] - 1)].transpose(1, 0, 2)
+            found = self.viterbi(np.ascontiguousarray(x), sizes[these], first[these], last[these])
+            valid = steps < sizes[these][:, None]
+            tags[(begin[these][:, None] + steps)[valid]] = found[valid]
+        return tags
+
     def texts(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(start, end, kind) of each span of each text, in characters."""
         each = [codes(t) for t in texts]
@@ -380,25 +545,37 @@ class Tagger:
                 low += step
         starts, sizes, heads, tails = (np.array(v, np.int64) for v in (starts, sizes, heads, tails))
         order = np.argsort(-sizes, kind="stable")
-        tags = np.zeros(len(body), np.uint8)
+        step_, begin = np.empty(int(at[-1]), np.float32), np.empty(int(at[-1]), np.float32)
+        made = []
         for low in range(0, len(order), ROWS):
             own = order[low : low + ROWS]
-            x = body[starts[own] + np.arange(int(sizes[own[0]]))[:, None]]
-            found = self.tags(x, sizes[own])
-            for r in np.flatnonzero(found.any(axis=1)):
-                k = own[r]
-                a, b = int(heads[k]), int(tails[k])
-                tags[a:b] = found[r, a - starts[k] : b - starts[k]]
-        edge = np.zeros(len(body) + 1, bool)
-        edge[1:-1] = tags[1:] != tags[:-1]
-        edge[at] = True
-        cuts = np.flatnonzero(edge[: at[-1] + 1])
+            places = starts[own] + np.arange(int(sizes[own[0]]))[:, None]
+            counts = (places >= heads[own]) & (places < tails[own])
+            e = self.emissions(body[places], sizes[own])
+            filled = places[counts]
+            for out, lead in zip((step_, begin), self.leads(e), strict=True):
+                out[filled] = lead[counts]
+            made.append((e, places, counts))
+        low, high = self.stretches(self.gain(step_, begin, at), at)
+        size = np.concatenate([[0], np.cumsum(high - low)])
+        # where in the open stretches' emissions each character's are
+        goes = np.full(len(body), -1, np.int64)
+        goes[np.repeat(low - size[:-1], high - low) + np.arange(size[-1])] = np.arange(size[-1])
+        part = np.empty((TAGS, int(size[-1])), np.float32)
+        for e, places, counts in made:
+            t, r = np.nonzero(counts & (goes[places] >= 0))
+            part[:, goes[places[t, r]]] = e[t, :, r].T
+        tags = self.best_tags(part, low, high, at)
+        kinds = np.where(tags > FIRST, tags - FIRST, tags)
+        inside = np.flatnonzero(kinds)
         spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        inside = np.flatnonzero(tags[cuts[:-1]] > 0) if len(cuts) > 1 else []
-        for i in inside:
-            a, b = int(cuts[i]), int(cuts[i + 1])
-            d = int(np.searchsorted(at, a, "right")) - 1
-            spans[d].append((a - int(at[d]), b - int(at[d]), int(tags[a])))
+        if len(inside):
+            fresh = (tags[inside] > FIRST) | (np.diff(inside, prepend=-2) > 1)
+            begin = inside[fresh]
+            end = inside[np.append(np.flatnonzero(fresh)[1:], len(inside)) - 1] + 1
+            which = np.searchsorted(at, begin, "right") - 1
+            for a, b, d in zip(begin.tolist(), end.tolist(), which.tolist(), strict=True):
+                spans[d].append((a - int(at[d]), b - int(at[d]), int(kinds[a])))
         return spans
 
 
@@ -417,16 +594,18 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, text, n_spans, spans) of every row; in text, spans are replaced by [KIND].
 
     spans are (start, end, kind) in characters of the text as it was. A null text stays null and
-    has no spans, nor has an empty one. Rows are independent of each other: ids may repeat or be null.
+    has no spans, nor has an empty one; a very long one is read and decoded whole. Rows are independent of each other: ids
+    may repeat or be null, and repeated rows have one result. Of paths that are as good the one that is outside longer is
+    taken. Other columns, whatever their names, are left out; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train())
+    shared = docs.sparkSession.sparkContext.broadcast(weights())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_spans", T.IntegerType()), T.StructField("spans", SPAN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for big in batches:
-            for batch in slices(big, "text", 2 << 20):
+            for batch in slices(big, "text", 1 << 20):
                 texts = batch.column(1).to_pylist()
                 spans = tagger.texts([t or "" for t in texts])
                 done = [redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
@@ -440,14 +619,19 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_private(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """docs, all its rows and columns, with spans in text_col replaced by [KIND] and size_col its length again."""
-    shared = docs.sparkSession.sparkContext.broadcast(train())
-    at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else -1
+    """docs, all its rows and columns, whatever their names, with spans in text_col replaced by [KIND] and size_col its length again.
+
+    Null and empty texts stay. Rows are independent of each other; an empty table gives none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(weights())
+    names, at, size_at = docs.columns, docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else -1
+    docs = by_place(docs)
+    text = docs.columns[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for big in batches:
-            for batch in slices(big, text_col, 2 << 20):
+            for batch in slices(big, text, 1 << 20):
                 texts = batch.column(at).to_pylist()
                 spans = tagger.texts([t or "" for t in texts])
                 columns = list(batch.columns)
@@ -457,4 +641,12 @@ def without_private(docs: DataFrame, text_col: str = "text", size_col: str | Non
                     columns[size_at] = pa.array([len(redact(t, s)) if s else n for t, s, n in zip(texts, spans, sizes, strict=True)], batch.schema.field(size_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
+
+
+def main() -> None:
+    np.savez_compressed(STORED, **train()._asdict())
+
+
+if __name__ == "__main__":
+    main()

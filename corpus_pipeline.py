@@ -1,9 +1,10 @@
 """Corpus preparation: stages over the documents table, each with one operator's decisions applied.
 
-Every stage takes all that its predecessor kept. Rows with a null doc_id can be in no near-duplicate
-group and are otherwise treated like others; null texts pass every stage but the last, where their
-tokens are null; columns beside those of documents are carried along, whatever their names, as
-long as they aren't those that the last stage adds (tokens, n_tokens, round_trip), which it replaces.
+Every stage takes all that its predecessor kept. Rows with a null doc_id are compared like others; null texts
+pass every stage but the last, where their tokens are null; of rows that are alike in id and text one stays, and
+rows with one id and different texts are documents of their own; columns beside those of documents are carried along,
+whatever their names, as long as they aren't those that the last stage adds (tokens, n_tokens, round_trip), which it
+replaces. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +31,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least id; one row of each id."""
+    """One document of each near-duplicate group stays, the one with the least id; one row of each id and text."""
     small_batches(spark)
-    gone = cut(near_duplicate_groups(docs).where("not is_kept").select("doc_id"))
-    unique = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"])) if repeated(docs) else docs
-    return drop_keys(unique, gone, "doc_id", gone.count())
+    if not repeated(docs):
+        gone = cut(near_duplicate_groups(docs).where("not is_kept").select("doc_id"))
+        return drop_keys(docs, gone, "doc_id", gone.count())
+    # ids don't tell rows apart: what tells documents apart is the id, or its lack, with a digest of the text
+    names = docs.columns
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
+    key = F.concat(F.coalesce(F.lpad(own.cast("string"), 20, "0"), F.lit("~")), F.lit("/"), F.coalesce(F.sha2(text, 256), F.lit("null")))
+    rows = cut(rows.withColumn("key", key).dropDuplicates(["key"]))
+    gone = cut(near_duplicate_groups(rows, "key", f"c{names.index('text')}").where("not is_kept").select("doc_id"))
+    return drop_keys(rows, gone.toDF("key"), "key", gone.count(), 120).drop("key").toDF(*names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +64,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> bool:
-    """Whether a doc_id is in more than one row."""
-    return not docs.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
+    """Whether a doc_id is in more than one row, or null."""
+    return not docs.where("doc_id is null").isEmpty() or not docs.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
 
 
 STAGES: list[tuple[str, Stage]] = [

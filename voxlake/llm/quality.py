@@ -7,7 +7,7 @@ and keeping the k largest sums samples k documents without replacement, in propo
 their weights. k is the share of good documents among all labelled ones, times the documents.
 
 An n-gram counts once a document in both models, so that one text that says a word a thousand
-times doesn't fill a bucket. The raw counts are brought to the target's scale by the ratio that
+times doesn't fill a bucket; in a document's weight it counts as often as it occurs. The raw counts are brought to the target's scale by the ratio that
 the median target n-gram has; a weight is thereby free of a document's length. The log ratio
 is smoothed, and 0 where it is less than `EFFECT` or within `SIGMAS` standard errors: the ratios of
 n-grams that are merely rare would else add up to more than those which tell.
@@ -33,8 +33,6 @@ PRIOR, EFFECT, SIGMAS = 1.0, 2.0, 4.0
 SEED = 17
 #: A word said so often on end is an n-gram of its own.
 RUN = 5
-#: A document's weight counts an n-gram so often at most.
-MOST = 4
 
 
 def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,11 +99,11 @@ def log_ratio(target: np.ndarray, everything: np.ndarray) -> np.ndarray:
 
 
 def weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """The log weight of each row: a sum over its features; 0 without words."""
+    """The log weight of each row: a sum over its features, each as often as it occurs; 0 without words."""
     out = [np.zeros(0)]
     for part in parts(column):
         row, ids, n = features(part, len(ratio))
-        out.append(np.bincount(row, np.minimum(n, MOST) * ratio[ids], minlength=len(part)))
+        out.append(np.bincount(row, n * ratio[ids], minlength=len(part)))
     return np.concatenate(out)
 
 
@@ -188,7 +186,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
     A null text has no n-grams, as an empty one has: its log weight is 0. A null id is an id like
     others. Rows that repeat an id have one noise value and so, with one text, one key; rows whose key
-    ties with the last selected one are all selected. Other columns are ignored, whatever their names.
+    ties with the last selected one are all selected. Very long texts are read whole. Other columns are ignored, whatever their
+    names. An empty table gives no rows; without labels all rows are selected.
     """
     keys, least = scored(docs, labels, id_col, text_col)
     return keys.withColumn("is_selected", F.col("key") >= F.lit(least))

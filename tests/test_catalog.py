@@ -7,7 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from voxlake.plans import catalog
+from voxlake.plans import catalog, more, stored
+
+QUERIES = catalog.QUERIES | stored.QUERIES | more.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | stored.ORACLE_SQL | more.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,12 +31,12 @@ def plain(rows, columns):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    if name in catalog.ORACLE_SQL:
-        want = duck.sql(catalog.ORACLE_SQL[name])
+    if name in ORACLE_SQL:
+        want = duck.sql(ORACLE_SQL[name])
         assert sorted(df.columns) == sorted(want.columns)
         assert plain(got, df.columns) == plain(want.fetchall(), want.columns)
 

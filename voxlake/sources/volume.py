@@ -614,3 +614,23 @@ def transfer(spark: SparkSession, source: str, target: str, mip: int = 0, low: S
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([1] * len(bodies), pa.int64()), pa.array(bodies, pa.binary())], ["gx", "gy", "gz", "n_voxels", "content"])
 
     return store_chunks(rows.mapInArrow(transcoded, CHUNK), Volume(Path(target), "precomputed", new), compress, keep=low is not None).select("name")
+
+
+def remap_stored(spark: SparkSession, source: str, target: str, mapping: dict[int, int], mip: int = 0, preserve_missing: bool = True, compress: str | None = "gzip") -> DataFrame:
+    """Copy a precomputed volume with its labels mapped; of palettes only the palettes are rewritten. Returns the names written.
+
+    A label without a target stays, or is an error. The mapping goes to every task: it is the driver's own table.
+    """
+    v = open_volume(source, mip)
+    s = v.scale
+    write_info(target, s)
+    shared = spark.sparkContext.broadcast(mapping)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            bodies = [codec.encoded_remap(b, s.encoding, shared.value, v.shape(g), s.dtype, s.block, preserve_missing) for g, b in zip(places, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([1] * len(bodies), pa.int64()), pa.array(bodies, pa.binary())], ["gx", "gy", "gz", "n_voxels", "content"])
+
+    rows = read_chunks(spark, source, mip).select("gx", "gy", "gz", "content").mapInArrow(mapped, CHUNK)
+    return store_chunks(rows, Volume(Path(target), "precomputed", s), compress, keep=False).select("name")

@@ -96,3 +96,95 @@ def morton_inverse(code: Column, grid: Triple) -> list[Column]:
 def closest_divisor(sizes: Triple, target: Triple) -> tuple[int, ...]:
     """On each axis the divisor of the size that is nearest to the target, the first of those as near."""
     return tuple(min((d for d in range(1, int(n) + 1) if n % d == 0), key=lambda d: abs(d - t)) for n, t in zip(sizes, target, strict=True))
+
+
+# boxes are six columns: x0, y0, z0, x1, y1, z1
+
+
+def contains_box(outer: Sequence[Column], inner: Sequence[Column]) -> Column:
+    """Whether both corners of the inner box are in the closed outer one."""
+    return contains(outer, inner[:3]) & contains(outer, inner[3:])
+
+
+def overlaps(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Whether two closed boxes share a point; touching is enough."""
+    return (a[0] <= b[3]) & (b[0] <= a[3]) & (a[1] <= b[4]) & (b[1] <= a[4]) & (a[2] <= b[5]) & (b[2] <= a[5])
+
+
+def near_edge(box: Sequence[Column], point: Sequence[Column], distance: int) -> Column:
+    """Whether a point is within a distance of one of the planes of the box's sides."""
+    out = F.lit(False)
+    for k in range(3):
+        out = out | (F.abs(point[k] - box[k]) <= distance) | (F.abs(point[k] - box[k + 3]) <= distance)
+    return out
+
+
+def box_size(box: Sequence[Column]) -> list[Column]:
+    return [box[k + 3] - box[k] for k in range(3)]
+
+
+def box_volume(box: Sequence[Column]) -> Column:
+    x, y, z = box_size(box)
+    return x * y * z
+
+
+def box_center(box: Sequence[Column]) -> list[Column]:
+    return [(box[k] + box[k + 3]).cast("double") / 2 for k in range(3)]
+
+
+def is_valid(box: Sequence[Column]) -> Column:
+    """No side is negative."""
+    return F.least(*box_size(box)) >= 0
+
+
+def is_empty(box: Sequence[Column]) -> Column:
+    return F.least(*box_size(box)) <= 0
+
+
+def is_subvoxel(box: Sequence[Column]) -> Column:
+    """A valid box that has less than a voxel on some axis or in all."""
+    return is_valid(box) & (box_volume(box) < 1)
+
+
+def shifted(box: Sequence[Column], by: Sequence[int]) -> list[Column]:
+    return [c + by[k % 3] for k, c in enumerate(box)]
+
+
+def scaled(box: Sequence[Column], by: Sequence[float]) -> list[Column]:
+    return [c * by[k % 3] for k, c in enumerate(box)]
+
+
+def divided(box: Sequence[Column], by: Sequence[int]) -> list[Column]:
+    """Both corners by floor division."""
+    return [floor_div(c, by[k % 3]) for k, c in enumerate(box)]
+
+
+BOX_NAME = r"(-?\d+)-(-?\d+)_(-?\d+)-(-?\d+)_(-?\d+)-(-?\d+)"
+
+
+def parsed_name(name: Column) -> list[Column]:
+    """The box in a file's name, x0-x1_y0-y1_z0-z1 with whatever is before and behind; null where there is none."""
+    part = lambda k: F.when(name.rlike(BOX_NAME), F.regexp_extract(name, BOX_NAME, k).cast("long"))
+    return [part(k) for k in (1, 3, 5, 2, 4, 6)]
+
+
+def dot(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def length(a: Sequence[Column]) -> Column:
+    return F.sqrt(dot(a, a).cast("double"))
+
+
+def clamped(a: Sequence[Column], low: Sequence[Column], high: Sequence[Column]) -> list[Column]:
+    return [F.least(F.greatest(v, lo), hi) for v, lo, hi in zip(a, low, high, strict=True)]
+
+
+def in_regions(box: Sequence[Column], regions: Sequence[Sequence[int]]) -> Column:
+    """Whether a box overlaps one of some regions of interest; without any, everything is of interest."""
+    if not regions:
+        return F.lit(True)
+    out = F.lit(False)
+    for r in regions:
+        out = out | intersects(box, [F.lit(int(k)) for k in r])
+    return out

@@ -38,6 +38,30 @@ def murmur3_low64(keys: np.ndarray) -> np.ndarray:
     return h1.astype(np.uint64) | (h2.astype(np.uint64) << np.uint64(32))
 
 
+def murmur3_x86_128(body: bytes, seed: int = 0) -> int:
+    """The 128 bits for bytes of any length, as a number whose lowest 32 bits are the first lane."""
+    mask = 0xFFFFFFFF
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+    c, h = [int(k) for k in _C], [seed & mask] * 4
+    turn, after, add = (15, 16, 17, 18), (19, 17, 15, 13), (0x561CCD1B, 0x0BCAA747, 0x96CD1C35, 0x32AC3B17)
+    scramble = lambda k, i: rot(k * c[i] & mask, turn[i]) * c[(i + 1) % 4] & mask
+    whole = len(body) // 16 * 16
+    for at in range(0, whole, 16):
+        for i in range(4):
+            h[i] ^= scramble(int.from_bytes(body[at + 4 * i : at + 4 * i + 4], "little"), i)
+            h[i] = (rot(h[i], after[i]) + h[(i + 1) % 4]) * 5 + add[i] & mask
+    for i in range(3, -1, -1):
+        if part := body[whole + 4 * i : whole + 4 * i + 4]:
+            h[i] ^= scramble(int.from_bytes(part, "little"), i)
+    h = [x ^ len(body) for x in h]
+    for final in (True, False):
+        h[0] = sum(h) & mask
+        h = [h[0], *((x + h[0]) & mask for x in h[1:])]
+        if final:
+            h = [int(x) for x in _final(np.array(h, np.uint32))]
+    return h[0] | h[1] << 32 | h[2] << 64 | h[3] << 96
+
+
 def murmur3_x86_128_low(column: str) -> Column:
     """As a BIGINT bit pattern."""
 

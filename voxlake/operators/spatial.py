@@ -40,3 +40,18 @@ def from_json(files: DataFrame) -> DataFrame:
     """(name, label, box) of files (name, content), whose content is JSON {label: [x0, y0, z0, x1, y1, z1]}."""
     parsed = files.select("name", F.explode(F.from_json("content", "map<string,array<bigint>>")).alias("label", "b"))
     return parsed.select("name", F.col("label").cast("long").alias("label"), *[F.col("b")[k].alias(c) for k, c in enumerate(BOX)])
+
+
+def from_points(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The least half-open box around the points, one for each value of `by`."""
+    edges = [F.min(a).alias(f"{a}0") for a in "xyz"] + [(F.max(a) + 1).alias(f"{a}1") for a in "xyz"]
+    return points.groupBy(*by).agg(*edges)
+
+
+def tables(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, boxes): cells with ids in the order of their corners, and a row for each label's box in a cell, as a database keeps the index."""
+    from voxlake.operators.components import numbered
+
+    cells = numbered(index.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "file_id")
+    files = cells.select("file_id", F.concat_ws("_", "cx", "cy", "cz").alias("filename"))
+    return files, index.join(cells, ["cx", "cy", "cz"]).select("file_id", "label", *BOX)

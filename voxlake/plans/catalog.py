@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlake.functions import codec, geometry, hashing
+from voxlake.functions import codec, geometry
 from voxlake.operators import blocks, graph, grid, mesh, shards, spatial, voxels
 from voxlake.operators.components import numbered
 from voxlake.plans.fixtures import relation, with_relations
@@ -350,4 +350,3 @@ def lru_split(v: DataFrame, p: DataFrame) -> DataFrame:
 
 
 query("codec_binary_roundtrip", "vox", sql="SELECT x, y, z, label FROM vox")(lambda v: codec.roundtrip(v, (32, 32, 32)))
-query("murmur3", "points")(lambda p: p.select("pid", hashing.murmur3_x86_128_low("pid").alias("h")))

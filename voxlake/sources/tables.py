@@ -54,7 +54,7 @@ def read_meshes(spark: SparkSession, glob: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v, f = obj_arrays(body.decode()) if path.endswith(".obj") else mesh_arrays(body)
+                v, f = obj_arrays(body.decode()) if path.endswith(".obj") else ply_arrays(body) if path.endswith(".ply") else mesh_arrays(body)
                 for kind, rows in (("vertex", v), ("face", f)):
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(np.arange(n)), *[pa.array(rows[:, k].astype(np.float64)) for k in range(3)]], ["path", "kind", "id", "a", "b", "c"])
@@ -62,6 +62,84 @@ def read_meshes(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(parse, "path string, kind string, id long, a double, b double, c double")
 
 
+def ply_bytes(vertices: np.ndarray, faces: np.ndarray) -> bytes:
+    """Binary little-endian PLY."""
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(vertices)}\nproperty float x\nproperty float y\nproperty float z\nelement face {len(faces)}\nproperty list uchar int vertex_indices\nend_header\n"
+    rows = np.zeros(len(faces), [("n", "u1"), ("v", "<i4", 3)])
+    rows["n"], rows["v"] = 3, faces
+    return head.encode() + vertices.astype("<f4").tobytes() + rows.tobytes()
+
+
+def ply_arrays(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of PLY as ply_bytes writes it, or in ASCII with triangles."""
+    head, _, rest = body.partition(b"end_header\n")
+    lines = head.decode().splitlines()
+    n, m = (next(int(x.split()[2]) for x in lines if x.startswith(f"element {k} ")) for k in ("vertex", "face"))
+    if any("ascii" in x for x in lines[:2]):
+        rows = rest.decode().split("\n")
+        return np.array([x.split()[:3] for x in rows[:n]], np.float32).reshape(-1, 3), np.array([x.split()[1:4] for x in rows[n : n + m]], np.uint32).reshape(-1, 3)
+    faces = np.frombuffer(rest, [("n", "u1"), ("v", "<i4", 3)], m, 12 * n)
+    if (faces["n"] != 3).any():
+        raise ValueError("only triangles")
+    return np.frombuffer(rest, "<f4", 3 * n).reshape(n, 3), faces["v"].astype(np.uint32)
+
+
+def put_mesh(path: str, label: int, parts: list[tuple[np.ndarray, np.ndarray]], lod: int = 0) -> list[str]:
+    """Store a label's fragments and its manifest in a folder of meshes; returns the fragments' names."""
+    names = [f"{label}:{lod}:{k}" for k in range(len(parts))]
+    for name, (v, f) in zip(names, parts, strict=True):
+        (Path(path) / name).write(mesh_bytes(v, f))
+    (Path(path) / f"{label}:{lod}").write(json.dumps({"fragments": names}).encode())
+    return names
+
+
+def mesh_fragments(path: str, labels: list[int], lod: int = 0) -> dict[int, list[str] | None]:
+    """Each label's fragments by its manifest, None where it has none."""
+    found = {k: (Path(path) / f"{k}:{lod}").read() for k in labels}
+    return {k: None if b is None else json.loads(b)["fragments"] for k, b in found.items()}
+
+
+def delete_mesh(path: str, label: int, lod: int = 0) -> None:
+    for name in mesh_fragments(path, [label], lod)[label] or []:
+        (Path(path) / name).delete()
+    (Path(path) / f"{label}:{lod}").delete()
+
+
+def swc_arrays(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(vertices, edges, radii, types) of SWC text; nodes are numbered in the order that they come in."""
+    rows = [x.split() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+    place = {int(r[0]): k for k, r in enumerate(rows)}
+    edges = [(place[int(r[0])], place[int(r[6])]) for r in rows if int(r[6]) != -1]
+    return np.array([[float(x) for x in r[2:5]] for r in rows], np.float32).reshape(-1, 3), np.array(edges, np.uint32).reshape(-1, 2), np.array([float(r[5]) for r in rows], np.float32), np.array([int(r[1]) for r in rows], np.uint8)
+
+
+def swc_text(vertices: np.ndarray, edges: np.ndarray, radii: np.ndarray | None = None, types: np.ndarray | None = None) -> str:
+    """SWC text: each tree from its first vertex; loops are an error, since a node has one parent."""
+    around: dict[int, list[int]] = {}
+    for a, b in edges.tolist():
+        around.setdefault(a, []).append(b)
+        around.setdefault(b, []).append(a)
+    parent: dict[int, int] = {}
+    order = []
+    for root in range(len(vertices)):
+        if root in parent:
+            continue
+        parent[root], todo = -1, [root]
+        while todo:
+            x = todo.pop()
+            order.append(x)
+            for y in sorted(around.get(x, ()), reverse=True):
+                if y == parent[x]:
+                    continue
+                if y in parent:
+                    raise ValueError("the skeleton has a loop")
+                parent[y] = x
+                todo.append(y)
+    new = {x: k + 1 for k, x in enumerate(order)}
+    line = lambda x: f"{new[x]} {0 if types is None else int(types[x])} {' '.join(f'{c:g}' for c in vertices[x].tolist())} {-1 if radii is None else float(radii[x]):g} {new.get(parent[x], -1)}"
+    return "\n".join(map(line, order)) + "\n" if order else ""
+
+
 def skeleton_bytes(vertices: np.ndarray, edges: np.ndarray) -> bytes:
     return struct.pack("<II", len(vertices), len(edges)) + vertices.astype("<f4").tobytes() + edges.astype("<u4").tobytes()
 

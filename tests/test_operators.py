@@ -247,3 +247,146 @@ def test_large_mappings_of_blocks(spark, cube):
         blocks.remap(b, m, strict=True, rows=1).collect()
     one = blocks.bitstream(b, 3)
     assert rows(blocks.decode(one, 4)) == rows(v.where("label = 3")) and {tuple(r.palette) for r in one.collect()} == {(0, 3)}
+
+
+def traced(image):
+    """How often border following passes each pixel of a 2-d image, by following every border."""
+    f = np.pad(image.astype(int), 1)
+    turn = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]  # counterclockwise, rows down
+    count, border = np.zeros(f.shape, int), 1
+    for i, j in itertools.product(range(1, f.shape[0] - 1), range(1, f.shape[1] - 1)):
+        if f[i, j] == 1 and f[i, j - 1] == 0:
+            at = 4
+        elif f[i, j] >= 1 and f[i, j + 1] == 0:
+            at = 0
+        else:
+            continue
+        border += 1
+        first = next((k for k in ((at - n) % 8 for n in range(8)) if f[i + turn[k][0], j + turn[k][1]]), None)
+        if first is None:
+            f[i, j] = -border
+            count[i, j] += 1
+            continue
+        start, here, back = (i + turn[first][0], j + turn[first][1]), (i, j), first
+        while True:
+            east = False
+            for n in range(1, 9):
+                k = (back + n) % 8
+                to = (here[0] + turn[k][0], here[1] + turn[k][1])
+                if f[to]:
+                    break
+                east |= k == 0
+            count[here] += 1
+            if east:
+                f[here] = -border
+            elif f[here] == 1:
+                f[here] = border
+            if to == (i, j) and here == start:
+                break
+            here, back = to, (k + 4) % 8
+    return count[1:-1, 1:-1]
+
+
+def test_contours_equal_tracing(spark):
+    r = np.random.default_rng(8)
+    data = (r.random((18, 15, 6)) < np.array([0.1, 0.35, 0.5, 0.65, 0.85, 0.97])).astype(int)
+    v = spark.createDataFrame([(*map(int, p), 1) for p in np.argwhere(data)], V)
+    got = {(r.x, r.y, r.z): r.n for r in voxels.contours(v).collect()}
+    want = {(*map(int, p), z): int(n) for z in range(6) for p, n in np.ndenumerate(traced(data[:, :, z])) if n}
+    assert got == want and max(want.values()) >= 3
+    assert set(got) == {tuple(r)[:3] for r in voxels.boundary(v).collect()}
+
+
+def test_slices(spark, cube):
+    from voxlake.sources.formats import OutOfBounds, Scale
+
+    data, v = cube
+    vol = api.Volume(v, Scale("k", "uint64", (14, 11, 9), (0, 0, 0), (4, 4, 4), (1, 1, 1)))
+    for given, want in (((3,), data[3:4]), ((slice(2, 9, 3), ...), data[2:9:3]), ((..., slice(1, 4)), data[:, :, 1:4]), ((slice(None), 5, slice(None)), data[:, 5:6])):
+        assert vol[given if len(given) > 1 else given[0]].df.count() == np.count_nonzero(want)
+    with pytest.raises(OutOfBounds):
+        vol[0:15, 0:1, 0:1]
+    assert vol.slices((slice(-3, 99), slice(0, 2)), bounded=False) == ([0, 0, 0], [14, 2, 9], [1, 1, 1])
+    with pytest.raises(IndexError):
+        vol[1, 2, 3, 4]
+    part = vol.cutout((2, 2, 2), (9, 9, 9))
+    assert part.scale.offset == (2, 2, 2) and part[2:9].df.count() == np.count_nonzero(data[2:9, 2:9, 2:9])
+
+
+S = "vid long, x long, y long, z long"
+
+
+def places(skeleton):
+    v, e = skeleton
+    at = {r.vid: (r.x, r.y, r.z) for r in v.collect()}
+    return set(at.values()), {frozenset((at[r.a], at[r.b])) for r in e.collect()}
+
+
+def test_skeletons(spark):
+    at = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 3), (2, 1, 3), (2, 2, 3)]
+    v = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], S)
+    e = spark.createDataFrame([(1, 0), (1, 2), (2, 3), (3, 4), (5, 4)], "a long, b long")
+    for factor, kept in ((1, range(6)), (2, (0, 2, 4, 5)), (3, (0, 3, 5)), (99, (0, 5))):
+        kept = [at[k] for k in kept]
+        assert places(mesh.downsampled_skeleton(v, e, factor)) == (set(kept), {frozenset(p) for p in itertools.pairwise(kept)}), factor
+    with pytest.raises(ValueError):
+        mesh.downsampled_skeleton(v, e, 0)
+    branched = spark.createDataFrame([(k, k, 0, 0) for k in range(12)], S)
+    fork = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (3, 5), (5, 6), (6, 7), (7, 3), (8, 9), (9, 10), (10, 8)], "a long, b long")
+    got = places(mesh.downsampled_skeleton(branched, fork, 2))[1]
+    assert {tuple(sorted(p[0] for p in x)) for x in got} == {(0, 2), (2, 3), (3, 4), (3, 6), (8, 10)}
+    assert mesh.equivalent((v, e), (v.withColumn("vid", 10 - F.col("vid")), e.select((10 - F.col("b")).alias("a"), (10 - F.col("a")).alias("b"))))
+    assert not mesh.equivalent((v, e), (v, e.where("a <> 5")))
+    both = mesh.merged_skeletons([(v, e), (v.withColumn("x", F.col("x") + 1), e)])
+    assert len(places(both)[1]) == 10 and places(both)[0] == set(at) | {(x + 1, y, z) for x, y, z in at}
+    assert places(mesh.connected_vertices(branched, fork))[0] == {(k, 0, 0) for k in range(11)}
+    text = "# made\n1 1 0 0 0 1 -1\n5 0 1 2 3 2.5 1\n3 0 4 5 6 1 5\n9 2 7 7 7 1 1\n"
+    sv, se, radii, types = tables.swc_arrays(text)
+    assert sv.tolist()[1] == [1, 2, 3] and se.tolist() == [[1, 0], [2, 1], [3, 0]] and radii[1] == 2.5 and types.tolist() == [1, 0, 0, 2]
+    again = tables.swc_arrays(tables.swc_text(sv, se, radii, types))
+    assert sorted(again[0].tolist()) == sorted(sv.tolist()) and len(again[1]) == 3
+    with pytest.raises(ValueError, match="loop"):
+        tables.swc_text(sv[:3], np.array([[0, 1], [1, 2], [2, 0]]))
+
+
+def test_mesh_files(spark, tmp_path):
+    vertices, faces = np.array([[0, 0, 0], [1, 2, 3], [4, 5, 6.5]], np.float32), np.array([[0, 1, 2], [2, 1, 0]], np.uint32)
+    back = tables.ply_arrays(tables.ply_bytes(vertices, faces))
+    assert np.array_equal(back[0], vertices) and np.array_equal(back[1], faces)
+    ascii_ = b"ply\nformat ascii 1.0\nelement vertex 3\nelement face 1\nend_header\n0 0 0\n1 2 3\n4 5 6.5\n3 0 1 2\n"
+    assert np.array_equal(tables.ply_arrays(ascii_)[0], vertices) and tables.ply_arrays(ascii_)[1].tolist() == [[0, 1, 2]]
+    names = tables.put_mesh(str(tmp_path), 7, [(vertices, faces), (vertices, faces[:1])])
+    assert tables.mesh_fragments(str(tmp_path), [7, 8]) == {7: names, 8: None}
+    labels = spark.createDataFrame([(7,), (8,), (7,)], "label long")
+    assert tables.read_label_meshes(str(tmp_path), labels).where("kind = 'face'").count() == 3
+    tables.delete_mesh(str(tmp_path), 7)
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_hash_of_bytes():
+    from voxlake.functions.hashing import murmur3_low64, murmur3_x86_128
+
+    # published values of the public algorithm, and agreement with the vectorised version
+    assert murmur3_x86_128(b"") == 0
+    keys = np.array([0, 1, 77, (1 << 64) - 1], np.uint64)
+    assert [murmur3_x86_128(int(k).to_bytes(8, "little")) & ((1 << 64) - 1) for k in keys] == murmur3_low64(keys).tolist()
+    assert len({murmur3_x86_128(b"x" * n) for n in range(40)}) == 40 and murmur3_x86_128(b"a", 1) != murmur3_x86_128(b"a")
+
+
+def test_segments_and_averages(spark):
+    from voxlake.operators import series
+
+    e = spark.createDataFrame([(1, 1, 10), (1, 2, 10), (1, 3, 11)], "layer long, child long, parent long")
+    v = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 0, 2), (2, 0, 0, 3), (3, 0, 0, 4)], V)
+    chosen = spark.createDataFrame([(1, 10), (2, 11), (3, 10)], "ordinal long, id long")
+    assert rows(graph.segments(v, e, chosen, 1)) == {(0, 0, 0, 10), (1, 0, 0, 10), (2, 0, 0, 11)}
+    assert (3, 0, 0, (1 << 32) - 1) in rows(graph.segments(v, e, chosen, 1, preserve_zeros=True))
+    t = spark.createDataFrame([(1, k, float(x)) for k, x in enumerate([4, 8, 1])] + [(2, 0, 5.0)], "g long, t long, v double")
+    for n in (1, 2, 5):
+        a = np.array([4.0, 8, 1])
+        padded = np.pad(a, (n, 0), "symmetric")
+        want = [padded[k + 1 : k + n + 1].mean() for k in range(3)]
+        got = {(r.g, r.t): r.average for r in series.moving_average(t, ["g"], "t", "v", n).collect()}
+        assert [got[1, k] for k in range(3)] == pytest.approx(want) and got[2, 0] == 5.0
+    with pytest.raises(ValueError):
+        series.moving_average(t, ["g"], "t", "v", 0)

@@ -269,3 +269,134 @@ def test_image_shards():
         first = [p for p in np.ndindex(*grid) if formats.morton_code(p, grid) < 1 << bits]
         shape = shard_shape(grid, bits)
         assert all(max(p[k] for p in first) < shape[k] for k in range(3))
+
+
+def stored(spark, path, **more):
+    return {tuple(r) for r in volume.read_volume(spark, path, **more).select("x", "y", "z", "label").collect()}
+
+
+V = "x long, y long, z long, label long"
+
+
+def test_rewrites_leave_nothing(spark, tmp_path):
+    from dataclasses import replace
+
+    data = random_labels(SCALE.size, 5)
+    full = spark.createDataFrame(voxels_of(data, SCALE.offset), V)
+    one = spark.createDataFrame([(0, 8, 1, 3)], V)
+    for k, sharding in enumerate((None, ShardSpec(1, 1, 2).as_dict())):
+        scale, path = replace(SCALE, sharding=sharding), str(tmp_path / f"v{k}")
+        volume.write_volume(full, path, scale)
+        low, high = (-5, 7, 0), (11, 23, 8)
+        volume.write_volume(full.where("false"), path, scale, low=low, high=high)
+        outside = {v for v in voxels_of(data, scale.offset) if not all(a <= p < b for a, p, b in zip(low, v, high))}
+        assert stored(spark, path) == outside
+        volume.write_volume(one, path, scale)
+        assert stored(spark, path) == {(0, 8, 1, 3)}
+        volume.write_volume(one.where("false"), path, scale)
+        assert stored(spark, path) == set() and not list((tmp_path / f"v{k}" / SCALE.key).iterdir())
+        volume.write_volume(one, path, scale, delete_black=False)
+        assert volume.read_volume(spark, path, fill_missing=False).count() == 1
+    with pytest.raises(volume.OutOfBounds):
+        volume.write_volume(one, str(tmp_path / "v0"), SCALE, low=(-6, 7, 0), high=(0, 10, 5))
+
+
+def test_info_is_merged(spark, tmp_path):
+    from dataclasses import replace
+
+    one, path = spark.createDataFrame([(0, 8, 1, 3)], V), str(tmp_path / "layer")
+    volume.write_volume(one, path, SCALE)
+    info = json.loads((tmp_path / "layer" / "info").read_text())
+    (tmp_path / "layer" / "info").write_text(json.dumps(info | {"mesh": "mesh", "skeletons": "s", "odd": [1]}))
+    volume.set_locked(path, [SCALE.key])
+    coarse = formats.add_scale([SCALE], (2, 2, 1))
+    volume.write_volume(one, path, coarse)
+    info = json.loads((tmp_path / "layer" / "info").read_text())
+    assert [s["key"] for s in info["scales"]] == [SCALE.key, coarse.key] and info["scales"][0]["locked"] and (info["mesh"], info["odd"]) == ("mesh", [1])
+    with pytest.raises(volume.LockedScale):
+        volume.write_volume(one, path, SCALE)
+    with pytest.raises(volume.LockedScale):
+        volume.delete_box(spark, path, (-5, 7, 0), (11, 23, 8))
+    with pytest.raises(formats.InfoMismatch):
+        volume.write_volume(one, path, replace(coarse, dtype="uint64"))
+    assert stored(spark, path) == {(0, 8, 1, 3)}
+    spec = ShardSpec(1, 1, 2)
+    volume.set_sharding(path, coarse.key, spec)
+    assert formats.open_volume(path, 1).spec() == spec
+    volume.set_sharding(path, coarse.key, None)
+    assert formats.open_volume(path, 1).spec() is None and formats.open_volume(path, 1).scale == coarse
+
+
+@pytest.mark.parametrize("encoding,dtype", [("palette", np.uint64), ("raw", np.uint8), ("raw", np.float32), ("npz", np.uint16)])
+def test_from_numpy_and_voxels(spark, tmp_path, encoding, dtype):
+    data = (random_labels((20, 17, 9, 2), 7) * (0.5 if dtype is np.float32 else 1)).astype(dtype)
+    path = str(tmp_path / "layer")
+    made = volume.from_numpy(spark, data, path, (4, 4, 40), (3, -2, 1), (8, 8, 8), encoding)
+    assert made.scale == formats.open_volume(path).scale
+    got = {tuple(r) for r in volume.read_volume(spark, path).collect()}
+    assert got == {(int(x) + 3, int(y) - 2, int(z) + 1, int(c), data[x, y, z, c].item()) for x, y, z, c in np.argwhere(data)}
+    assert np.array_equal(volume.read_voxel(path, (10, 5, 6)), data[7, 7, 5])
+    with pytest.raises(formats.OutOfBounds):
+        volume.read_voxel(path, (23, 0, 1))
+    low, high = (5, 1, 2), (14, 12, 9)
+    if dtype is not np.float32:
+        b = volume.read_blocks(spark, path, low=low, high=high)
+        assert {tuple(r) for r in volume.block_voxels(b).collect()} == {r for r in got if all(a <= p < e for a, p, e in zip(low, r, high))}
+    assert volume.unique_stored(spark, path).count() == len(np.unique(data)) if dtype is not np.float32 else True
+
+
+def test_only_hit_blocks_are_unpacked(monkeypatch):
+    data = np.zeros((32, 32, 32), np.uint64)
+    data[3, 4, 5], data[20:24, 9, 9], data[31, 31, 31] = 7, 8, (1 << 63) + 5
+    body, unpacked = codec.compress(data), []
+    keep = codec.indices
+    monkeypatch.setattr(codec, "indices", lambda own, widths, values, size: unpacked.append(len(widths)) or keep(own, widths, values, size))
+    assert [b.low for b in codec.scan_blocks(body, data.shape, np.uint64, wanted=[7])] == [(0, 0, 0)] and sum(unpacked) == 1
+    found = list(codec.scan_blocks(body, data.shape, np.uint64, wanted=[5 - (1 << 63), 8]))
+    assert [b.low for b in found] == [(16, 8, 8), (24, 24, 24)] and sum(unpacked) == 3
+    assert list(codec.scan_blocks(body, data.shape, np.uint64, low=(4, 0, 0), high=(32, 8, 8), wanted=[7])) == []
+    cut = list(codec.scan_blocks(body, data.shape, np.uint64, low=(22, 9, 9), high=(30, 10, 10)))
+    assert [(b.low, b.size, b.palette.tolist(), b.index.tolist()) for b in cut] == [((22, 9, 9), (2, 1, 1), [8], [0, 0])]
+    del unpacked[:]
+    assert codec.labels(body, data.shape, np.uint64).tolist() == [0, 7, 8, (1 << 63) + 5] and codec.remap(body, {7: 9}, data.shape, np.uint64, preserve_missing=True) != body and not unpacked
+
+
+def test_stored_odds(spark, tmp_path):
+    # a raw chunk whose first bytes are those of a gzip file is no gzip file
+    data = np.full((8, 8, 8), 0x8B1F, np.uint16)
+    volume.from_numpy(spark, data, str(tmp_path / "a"), chunk=(8, 8, 8), compress=None)
+    assert volume.read_volume(spark, str(tmp_path / "a")).count() == 512
+    for compress in ("xz", "zstd"):
+        volume.from_numpy(spark, data, str(tmp_path / compress), chunk=(8, 8, 8), compress=compress)
+        assert volume.read_volume(spark, str(tmp_path / compress)).count() == 512
+    body = bytes(np.random.default_rng(0).integers(0, 256, 5000, dtype=np.uint8))
+    crc = 0xFFFFFFFF
+    for b in body:
+        crc = int(formats._CRC[(crc ^ b) & 0xFF]) ^ (crc >> 8)
+    assert formats.crc32c(body) == crc ^ 0xFFFFFFFF
+    spec = ShardSpec(0, 2, 0)
+    items = {k: b"x" * (k % 7) for k in range(3000)}
+    (tmp_path / "0.shard").write_bytes(formats.shard_body(items, spec))
+    began = time.time()
+    assert dict(formats.shard_items(Path(str(tmp_path / "0.shard")), spec, list(items))) == items and time.time() - began < 5
+    ranges = formats.shard_ranges(Path(str(tmp_path / "0.shard")), spec, [5, 9999])
+    assert ranges[9999] is None and ranges[5][1] - ranges[5][0] == 5
+    assert formats.fill_of("NaN", np.dtype("f4")) != formats.fill_of("NaN", np.dtype("f4")) and formats.fill_of("0x3f800000", np.dtype("f4")) == 1 and formats.fill_of(None, np.dtype("u2")) == 0
+
+
+def test_registered_format(spark, tmp_path):
+    volume.from_numpy(spark, np.full((4, 4, 4), 6, np.uint8), str(tmp_path / "a"), chunk=(4, 4, 4))
+    formats.register_format("mine", lambda path, mip: formats.open_volume(str(tmp_path / path.uri), mip))
+    assert formats.open_volume("mine://a").scale.size == (4, 4, 4)
+    with pytest.raises(NotImplementedError):
+        formats.open_volume("none://a")
+    del formats.OPENERS["mine"]
+
+
+def test_transfer_strategies():
+    from dataclasses import replace
+
+    v = formats.Volume(Path("/nowhere"), "precomputed", SCALE)
+    shards = ShardSpec(1, 1, 1).as_dict()
+    assert [volume.transfer_strategy(v, replace(SCALE, **c)) for c in ({}, {"sharding": shards}, {"encoding": "raw"}, {"chunk": (8, 8, 8)})] == ["copy", "copy", "transcode", "render"]
+    assert volume.transfer_strategy(v, SCALE, (-5, 7, 0), (11, 23, 8)) == "copy" and volume.transfer_strategy(v, SCALE, (-5, 7, 0), (10, 23, 8)) == "render"

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from voxlake.functions.geometry import floor_div, morton
 from voxlake.operators import blocks, graph, mesh, shards, spatial, voxels
+from voxlake.operators.components import cut
 from voxlake.sources import formats
-from voxlake.sources.volume import read_volume, write_volume
+from voxlake.sources.formats import register_format
+from voxlake.sources.volume import from_numpy, read_blocks, read_voxel, read_volume, transfer, write_volume, write_zarr
 
 pairwise_clouds = voxels.pairwise_clouds
 shard_location = shards.location
 encode_label, decode_label = graph.encode, graph.decode
 roots, leaves = graph.roots, graph.leaves
-__all__ = ["Mesh", "SpatialIndex", "Volume", "decode_label", "encode_label", "leaves", "morton", "open_volume", "pairwise_clouds", "roots", "shard_location"]
+__all__ = [
+    "Mesh", "SpatialIndex", "Volume", "decode_label", "encode_label", "from_numpy", "leaves", "morton", "open_volume", "pairwise_clouds", "read_blocks", "read_voxel", "register_format", "roots", "shard_location", "transfer", "write_zarr",
+]
 
 
 @dataclass(frozen=True)
@@ -33,10 +37,19 @@ class Volume:
     def box(self, low: Sequence[int], high: Sequence[int], step: Sequence[int] = (1, 1, 1)) -> Volume:
         return self._new(voxels.box(self.df, low, high) if tuple(step) == (1, 1, 1) else voxels.strided(self.df, low, high, step))
 
-    def __getitem__(self, slices: tuple[slice, ...]) -> Volume:
-        """vol[x0:x1:sx, y0:y1, z0:z1]; open ends need a scale."""
+    def slices(self, given: slice | int | tuple, bounded: bool = True) -> tuple[list[int], list[int], list[int]]:
+        """Corners and steps of vol[x0:x1:sx, y, ...]: a number is one voxel, an ellipsis or a missing axis is all of it.
+
+        Open ends need a scale. With one, a box beyond the volume is an error if bounded, else it is cut off.
+        """
+        given = list(given) if isinstance(given, tuple) else [given]
+        if given.count(Ellipsis) > 1 or len(given) - given.count(Ellipsis) > 3:
+            raise IndexError("too many axes")
+        at = given.index(Ellipsis) if Ellipsis in given else len(given)
+        given = given[:at] + [slice(None)] * (3 - len(given) + (Ellipsis in given)) + given[at + 1 :]
         low, high, step = [], [], []
-        for k, s in enumerate(slices):
+        for k, s in enumerate(given):
+            s = slice(s, s + 1) if isinstance(s, int) else s
             if s.step is not None and s.step < 1:
                 raise ValueError("steps must be positive")
             if (s.start is None or s.stop is None) and self.scale is None:
@@ -44,7 +57,22 @@ class Volume:
             low.append(self.scale.offset[k] if s.start is None else s.start)
             high.append(self.scale.end[k] if s.stop is None else s.stop)
             step.append(s.step or 1)
-        return self.box(low, high, step)
+        if self.scale is not None:
+            if bounded and any(a < o or b > e or a > b for a, b, o, e in zip(low, high, self.scale.offset, self.scale.end, strict=True)):
+                raise formats.OutOfBounds(f"{tuple(low)} - {tuple(high)} isn't in {self.scale.offset} - {self.scale.end}")
+            low, high = [max(a, o) for a, o in zip(low, self.scale.offset, strict=True)], [min(b, e) for b, e in zip(high, self.scale.end, strict=True)]
+        return low, high, step
+
+    def __getitem__(self, given: slice | int | tuple) -> Volume:
+        return self.box(*self.slices(given))
+
+    def cutout(self, low: Sequence[int], high: Sequence[int]) -> Volume:
+        """A box, cut from its lineage, with a scale of its own: a volume that is read many times."""
+        own = None if self.scale is None else replace(self.scale, offset=tuple(low), size=tuple(b - a for a, b in zip(low, high, strict=True)), sharding=None)
+        return Volume(cut(voxels.box(self.df, low, high)), own)
+
+    def contours(self) -> DataFrame:
+        return voxels.contours(self.df)
 
     def where(self, label: int) -> Volume:
         return self._new(self.df.where(F.col("label") == label))

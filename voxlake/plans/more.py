@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions import geometry, hashing
-from voxlake.operators import blocks, graph, grid, mesh, series, spatial
+from voxlake.operators import blocks, graph, grid, mesh, series, spatial, voxels
 from voxlake.plans.fixtures import relation, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,14 @@ def _segments(v: DataFrame, e: DataFrame, zeros: bool) -> DataFrame:
 query("graph_segments", "vox", "graph_edges", sql=f"SELECT x, y, z, max(id) AS label FROM vox JOIN ({_CHOSEN}) ON child = label GROUP BY x, y, z")(lambda v, e: _segments(v, e, False))
 query("graph_segments_zeros", "vox", "graph_edges", sql=f"SELECT x, y, z, coalesce(max(id), 4294967295) AS label FROM vox LEFT JOIN ({_CHOSEN}) ON child = label GROUP BY x, y, z")(lambda v, e: _segments(v, e, True))
 
+# contours
+
+_HELD = ", ".join(f"CASE WHEN EXISTS (SELECT 1 FROM m o WHERE o.x = m.x + ({a}) AND o.y = m.y + ({b}) AND o.z = m.z) THEN 0 ELSE 1 END AS f{k}" for k, (a, b) in enumerate(voxels.RING))
+_GAPS = "f0 + f2 + f4 + f6 - " + " - ".join(f"f{k} * f{k + 1} * f{(k + 2) % 8}" for k in (0, 2, 4, 6))
+query("contour_multiset", "vox_dense", sql=f"WITH m AS (SELECT x, y, z FROM vox_dense WHERE label < 6), r AS (SELECT x, y, z, {_HELD} FROM m) SELECT x, y, z, CAST(CASE WHEN f0 + f1 + f2 + f3 + f4 + f5 + f6 + f7 = 8 THEN 1 ELSE {_GAPS} END AS BIGINT) AS n FROM r WHERE f0 + f2 + f4 + f6 > 0")(
+    lambda v: voxels.contours(v.where("label < 6")).select("x", "y", "z", "n")
+)
+
 # meshes and skeletons
 
 _SKEL = "SELECT v0 AS a, v1 AS b FROM mesh_faces WHERE v0 % 7 = 0 AND v0 <> v1"

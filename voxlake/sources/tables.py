@@ -48,18 +48,40 @@ def obj_arrays(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(v, np.float32).reshape(-1, 3), np.array(f, np.uint32).reshape(-1, 3)
 
 
+_MESH_ROWS = "path string, kind string, id long, a double, b double, c double"
+
+
+def _mesh_rows(path: str, body: bytes) -> Iterator[pa.RecordBatch]:
+    v, f = obj_arrays(body.decode()) if path.endswith(".obj") else ply_arrays(body) if path.endswith(".ply") else mesh_arrays(body)
+    for kind, rows in (("vertex", v), ("face", f)):
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(np.arange(n)), *[pa.array(rows[:, k].astype(np.float64)) for k in range(3)]], ["path", "kind", "id", "a", "b", "c"])
+
+
 def read_meshes(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, kind, id, a, b, c) of mesh fragments and obj files: vertices with coordinates, faces with corners."""
+    """(path, kind, id, a, b, c) of mesh fragments, obj and ply files: vertices with coordinates, faces with corners."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v, f = obj_arrays(body.decode()) if path.endswith(".obj") else ply_arrays(body) if path.endswith(".ply") else mesh_arrays(body)
-                for kind, rows in (("vertex", v), ("face", f)):
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(np.arange(n)), *[pa.array(rows[:, k].astype(np.float64)) for k in range(3)]], ["path", "kind", "id", "a", "b", "c"])
+                yield from _mesh_rows(path, body)
+
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(parse, _MESH_ROWS)
+
+
+def read_label_meshes(path: str, labels: DataFrame, lod: int = 0) -> DataFrame:
+    """(path, kind, id, a, b, c) of all fragments of labels (label), found by their manifests; labels without one have none.
+
+    Fragments' names may hold colons, which Spark's own file sources can't read.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names in mesh_fragments(path, batch.column(0).to_pylist(), lod).values():
+                for name in names or []:
+                    yield from _mesh_rows(name, (Path(path) / name).read())
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(parse, "path string, kind string, id long, a double, b double, c double")
+    return labels.select(F.col("label").cast("long")).distinct().mapInArrow(read, _MESH_ROWS)
 
 
 def ply_bytes(vertices: np.ndarray, faces: np.ndarray) -> bytes:

@@ -22,8 +22,11 @@ def small_batches(spark) -> None:
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table, in as many partitions as there are cores at least: a file of one row group would be one task."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
 def quoted(name: str) -> str:

@@ -155,7 +155,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # counts are combined within tasks, so that a prefix that is everywhere isn't gathered to be counted
     place = F.struct("doc_id", "pos")
     known = found.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low <> high")
-    found = cut(found.join(known.select("gram", (F.col("n") > most).alias("hot")), "gram").select("doc_id", "pos", "hot"))
+    found = spread_join(found, cut(known.select("gram", "n")), "gram", ["doc_id", "pos"], group)
+    found = cut(found.select("doc_id", "pos", (F.col("n") > most).alias("hot")))
     n, hot = found.agg(F.count("*"), F.count_if("hot")).first()
     places = found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "hot")).alias("places"))
     suffixes = contexts(rows.join(places, "doc_id").select("doc_id", "text", "places"), length, prefix).withColumn("prefix", F.col("gram"))
@@ -187,6 +188,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return restored(islands.groupBy("doc_id", "island").agg(F.min("low").alias("start_word"), (F.max("high") - F.min("low")).alias("n_words")).drop("island"), ["doc_id"])
 
 
+def spread_join(rows: DataFrame, known: DataFrame, key: str, by: list[str], share: int) -> DataFrame:
+    """rows that have a key of known (key, n), with n, where n is how many rows there are.
+
+    Keys of more than a share of the rows are dealt out over as many tasks as they have shares. There are 10,000 such keys at
+    most, since a share is a ten-thousandth of all rows at least; they are broadcast.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    share = max(share, -(-total // 10_000))
+    often = known.where(F.col("n") > share).select(F.col(key).alias("__key"), F.ceil(F.col("n") / share).alias("__shares"))
+    left = rows.join(F.broadcast(often), F.col(key) == F.col("__key"), "left").withColumn("__share", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__shares")), F.lit(0).cast("long"))).drop("__key", "__shares")
+    right = known.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > share, F.ceil(F.col("n") / share) - 1).otherwise(F.lit(0).cast("long")))))
+    return left.join(right, [key, "__share"]).drop("__share")
+
+
 def _lengthened(suffixes: DataFrame, need: int, prefix: int, most: int, step: int) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
     """(passages, [(suffixes, how many)]): prefixes lengthened until their suffixes fit a tree.
 
@@ -201,11 +216,11 @@ def _lengthened(suffixes: DataFrame, need: int, prefix: int, most: int, step: in
         # nodes of depth low to reach - 1, each with the words before that make up the full length
         backs = F.explode(F.array(*[F.struct(F.lit(need - d).alias("back"), F.xxhash64("gram", words_("left", need - d), words_("right", d), F.lit(d)).alias("key"), ((F.octet_length("left") >= 4 * (need - d)) & (F.octet_length("right") >= 4 * d)).alias("fits")) for d in range(low, reach)]))
         exact = left.select("doc_id", "pos", backs.alias("k")).where("k.fits").select("doc_id", (F.col("pos") - F.col("k.back")).cast("long").alias("low"), "k.key")
-        exact = exact.join(two(exact).select("key"), "key").select("doc_id", "low", (F.col("low") + need + prefix).alias("high"))
+        exact = spread_join(exact, cut(two(exact).select("key", "n")), "key", ["doc_id", "low"], GROUP).select("doc_id", "low", (F.col("low") + need + prefix).alias("high"))
         passages = exact if passages is None else passages.union(exact)
         longer = left.where(F.octet_length("right") >= 4 * reach).withColumn("prefix", F.xxhash64("gram", words_("right", reach)))
-        known = two(longer.select(F.col("prefix").alias("key"), "doc_id", F.col("pos").cast("long").alias("low"))).select(F.col("key").alias("prefix"), (F.col("n") > most).alias("many"))
-        longer = cut(longer.join(known, "prefix"))
+        known = two(longer.select(F.col("prefix").alias("key"), "doc_id", F.col("pos").cast("long").alias("low"))).select(F.col("key").alias("prefix"), "n")
+        longer = cut(spread_join(longer, cut(known), "prefix", ["doc_id", "pos"], GROUP).withColumn("many", F.col("n") > most).drop("n"))
         if reach == need:
             return passages.union(longer.select("doc_id", F.col("pos").cast("long").alias("low"), (F.col("pos") + prefix + need).cast("long").alias("high"))), parts
         n, many = longer.agg(F.count("*"), F.count_if("many")).first()

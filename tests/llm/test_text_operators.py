@@ -606,6 +606,72 @@ def test_range_pairs_equal_brute_force(spark, share, pivots, least):
     assert metric_join.range_pairs(frame.where("false")).collect() == []
 
 
+def expanded(rows):
+    """The pairs that rows of `range_classes` stand for; what they say of numbers is checked."""
+    members = {r.id: r for r in rows if r.kind == "member"}
+    assert len(members) == sum(r.kind == "member" for r in rows)
+    classes = collections.defaultdict(list)
+    for r in members.values():
+        classes[r.class_id].append(r.id)
+    assert all(k == min(v) for k, v in classes.items())
+    pairs = [(min(p), max(p)) for v in classes.values() for p in itertools.combinations(v, 2)]
+    for r in rows:
+        if r.kind == "link":
+            new = [(min(p), max(p)) for p in itertools.product(classes[r.id], classes[r.class_id])]
+            assert r.id < r.class_id and r.links == len(new)
+            pairs += new
+    assert len(set(pairs)) == len(pairs)
+    degree = collections.Counter(i for p in pairs for i in p)
+    assert {i: r.links for i, r in members.items()} == {i: degree[i] for i in members}
+    # no class could be larger
+    closed = {i: {i} for i in members}
+    for a, b in pairs:
+        closed[a].add(b)
+        closed[b].add(a)
+    assert len({tuple(sorted(c)) for c in closed.values()}) == len(classes)
+    return set(pairs)
+
+
+@pytest.mark.parametrize("share,pivots,least,kind", [(4096, None, 0.9, "bigint"), (15, 9, 0.9, "string"), (20, 20, 0.99, "bigint"), (50, 5, -1.0, "int")])
+def test_range_classes_stand_for_all_pairs(spark, share, pivots, least, kind):
+    name = (lambda i: None if i is None else f"v{i:04d}") if kind == "string" else (lambda i: i)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(12, 6))
+    x = np.stack([base[k % 12] + r.normal(0, (0.01, 0.12)[k % 2], 6) for k in range(120)])
+    x[40:47] = x[40]
+    rows = [(name(i), v.tolist()) for i, v in enumerate(x)]
+    odd = [(500, None), (501, []), (502, [0.0] * 6), (503, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (504, [float("nan")] * 6), (505, [1.0, 2.0]), (506, [2.0, 4.0])]
+    # ids of several rows: the same vector, vectors of two clusters, one that is in both sizes
+    odd += [(7, x[7].tolist()), (8, x[21].tolist()), (8, x[22].tolist()), (9, [1.0, 2.0]), (None, x[0].tolist())]
+    frame = spark.createDataFrame(rows + [(name(i), v) for i, v in odd], f"vec_id {kind}, embedding array<double>")
+    got = metric_join.range_classes(frame, min_cosine=least, share=share, pivots=pivots)
+    assert [t for _, t in got.dtypes] == ["string", kind, kind, "bigint"]
+    got = got.collect()
+    assert expanded(got) == {tuple(p) for p in metric_join.range_pairs(frame, min_cosine=least, share=share, pivots=pivots).collect()}
+    assert {r.id for r in got if r.kind == "member"} == {name(i) for i in [*range(120), *range(500, 507)]}
+    assert metric_join.range_classes(frame.where("false")).collect() == []
+
+
+def test_range_join_query_writes_no_cluster_out(spark, tmp_path):
+    import duckdb
+
+    from voxlake.llm import queries
+
+    r = np.random.default_rng(5)
+    # a cluster of 60, a chain whose ends are apart, copies, and vectors without partners
+    line = [[math.cos(a), math.sin(a), 0.0, 0.0] for a in (0.0, 0.2, 0.4, 0.4, 0.6)]
+    x = [*(np.array([0.0, 0, 3, 0]) + r.normal(0, 0.01, (60, 4))).tolist(), *line, *line[:2], [0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0, -1.0]]
+    spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op9_embedding_range_join(spark, str(tmp_path)).collect()
+    pairs = expanded(got)
+    assert len(pairs) > 60 * 59 / 2 and len(got) < 2 * len(x) and any(r.kind == "link" for r in got)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.sql(queries.ORACLE_SQL["op9_embedding_range_join"])
+    assert want.columns == ["kind", "id", "class_id", "links"]
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 # 10 decontamination
 
 

@@ -469,6 +469,26 @@ def test_decoding_equals_all_paths(tagger, monkeypatch):
             assert score(tags[a:b].tolist()) == pytest.approx(max(map(score, itertools.product(range(5), repeat=b - a))), abs=1e-3)
 
 
+def test_emissions_of_ragged_windows(tagger, monkeypatch):
+    """Both ways to work out gates give the states of training; no emission is worked out behind the end of a window."""
+    w, r = pii.weights(), np.random.default_rng(4)
+    sizes = np.array([40, 40, 23, 7, 1, 1])
+    texts = [pii.sample(r, int(n))[0] for n in sizes]
+    want = []
+    for x in map(pii.codes, texts):
+        both = pii._run(np.stack([x, x[::-1]], axis=1)[:, :, None].astype(np.int64), np.stack([w.wf, w.wb]), np.stack([w.uf, w.ub]))[0][:, :, 0]
+        want.append(np.concatenate([both[:, 0], both[::-1, 1]], axis=1) @ w.out + w.bias)
+    live = (sizes > np.arange(40)[:, None]).sum(axis=1)
+    x = np.array([pii.codes(t)[k] for k in range(40) for t in texts if k < len(t)], np.intp)
+    spans = tagger.texts(texts)
+    for fast in (True, False):
+        monkeypatch.setattr(pii, "fast_tanh", lambda fast=fast: fast)
+        own = pii.Tagger(w)
+        e = own.emissions(x, live)[0]
+        assert e.shape == (pii.TAGS, sizes.sum()) and own.texts(texts) == spans
+        assert np.allclose(e.T, [want[d][k] for k in range(40) for d in range(len(sizes)) if k < sizes[d]], atol=1e-3)
+
+
 def test_forms_of_other_sources(tagger):
     """Examples from public documentation, none of which the generator made."""
     forms = {

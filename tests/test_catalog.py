@@ -41,6 +41,17 @@ def test_query_equals_oracle(spark, duck, name):
         assert plain(got, df.columns) == plain(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("name", ["block_labels"])
+@pytest.mark.parametrize("voxels", [64 * 64 * 32, 0])
+def test_background_of_full_and_empty_volumes(spark, tmp_path, name, voxels):
+    c, path = duckdb.connect(), f"{tmp_path}/lineitem.parquet"
+    c.execute(f"COPY (SELECT i % 64 AS l_partkey, i // 64 % 64 AS l_orderkey, i // 4096 AS l_suppkey, i % 7 + 1 AS l_linenumber FROM range({voxels}) r(i)) TO '{path}' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = c.execute(ORACLE_SQL[name]).fetchall()
+    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want, ["label"]) and (0,) in want
+
+
 def test_text_operators_are_apart():
     root = Path(__file__).resolve().parent.parent
     for f in [*root.glob("voxlake/**/*.py"), root / "bench.py"]:

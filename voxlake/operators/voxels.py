@@ -65,6 +65,12 @@ def unique(v: DataFrame, volume: int | None = None) -> DataFrame:
     return found.union(v.agg(F.count("*").alias("n")).where(F.col("n") < volume).select(F.lit(0).cast("long"))).distinct()
 
 
+def with_background(found: DataFrame) -> DataFrame:
+    """Distinct labels, and 0 once, also where every voxel has another label."""
+    zero = found.sparkSession.range(0, 1, 1, 1).select(F.lit(0).cast("long").alias("label"))
+    return found.where(~F.col("label").eqNullSafe(0)).union(zero)
+
+
 def renumber(v: DataFrame) -> DataFrame:
     """Labels 1, 2, ... in the order of the old ones."""
     order = numbered(v.select("label").distinct(), ["label"], "new_label")

@@ -152,7 +152,7 @@ query("block_palette", "vox", sql=f"SELECT bx, by, bz, array_to_string(palette,
 query("block_bits", "vox", sql=f"SELECT bx, by, bz, CAST({_BITS} AS BIGINT) AS bits FROM (SELECT bx, by, bz, len(palette) AS n FROM ({_PALETTES}))")(lambda v: blocks.palettes(v).select("bx", "by", "bz", "bits"))
 query("block_class", "vox", sql=f"SELECT bx, by, bz, CAST(CASE WHEN NOT list_contains(palette, 7) THEN 0 WHEN len(palette) = 1 THEN 1 ELSE 2 END AS BIGINT) AS class FROM ({_PALETTES})")(lambda v: blocks.classify(blocks.palettes(v), 7))
 query("block_prune", "vox", sql=f"SELECT bx, by, bz FROM ({_BLOCKS}) WHERE label IN (6, 7) GROUP BY 1, 2, 3")(lambda v: blocks.prune(blocks.palettes(v), [6, 7]).select("bx", "by", "bz"))
-query("block_labels", "vox", sql="SELECT DISTINCT label FROM vox UNION SELECT 0")(lambda v: blocks.labels(blocks.palettes(v)))
+query("block_labels", "vox", sql="SELECT DISTINCT label FROM vox UNION SELECT 0")(lambda v: voxels.with_background(blocks.labels(blocks.palettes(v))))
 query("block_contains", "vox", sql="SELECT CAST(w AS BIGINT) AS label, EXISTS (SELECT 1 FROM vox WHERE label = w) AS found FROM (SELECT unnest([1, 7, 99]) AS w)")(
     lambda v: blocks.palettes(v).agg(*[F.max(F.array_contains("palette", F.lit(w).cast("long"))).alias(f"h{w}") for w in (1, 7, 99)]).select(F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("label"), F.col(f"h{w}").alias("found")) for w in (1, 7, 99)])).alias("s")).select("s.*")
 )
